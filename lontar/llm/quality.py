@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table, small_batches, stored, text_bytes
+from .shared import lookup, read_table, small_batches, stored, text_bytes
 
 MIN_WORDS = 50
 #: A host is refused if its shrunk rate of failures under a rule is above this.
@@ -122,8 +122,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are read once; the narrow features are stored, so that judging hosts and joining them back don't read them again.
     """
     features = stored(measured(docs, id_col, text_col, host_col), "quality")
-    hosts = host_verdicts(features, rates).select("host", "host_refused")
-    joined = features.join(hosts, "host", "left").withColumn("base_failed", _rules()["base"])
+    hosts = stored(host_verdicts(features, rates).select("host", "host_refused"), "hosts")
+    joined = lookup(features, hosts, "host").withColumn("base_failed", _rules()["base"])
     return joined.select(
         "doc_id",
         *FEATURES,
@@ -146,13 +146,12 @@ def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rates: dict[str, float] | None = None) -> DataFrame:
     """The documents that pass their own rules and whose host does, with all their columns.
 
-    The documents themselves are never shuffled: they are filtered in place, then joined to the refused hosts, a list
-    that is broadcast only if Spark finds it small.
+    The documents are filtered in place, then joined to the refused hosts, a list that is broadcast if it is counted small.
     """
     features = stored(measured(docs, id_col, text_col, host_col), "quality")
-    refused = host_verdicts(features, rates).filter("host_refused").select(F.col("host").alias("_refused_host"))
+    refused = stored(host_verdicts(features, rates).filter("host_refused").select(F.col("host").alias("_host")), "hosts")
     passing = docs.withColumn("_text_bytes", text_bytes(text_col)).mapInArrow(_passing, docs.schema)
-    return passing.join(refused, passing[host_col].cast("string") == F.col("_refused_host"), "left_anti")
+    return lookup(passing.withColumn("_host", F.col(host_col).cast("string")), refused, "_host", "left_anti").select(*docs.columns)
 
 
 def op5_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, token_counts
 
 QUERIES = {
+    "op3_token_counts": token_counts.op3_token_counts,
     "op5_host_quality_rules": quality.op5_host_quality_rules,
+    "op7_harmonic_packing": packing.op7_harmonic_packing,
 }
 
 ORACLES = {

@@ -81,3 +81,20 @@ def text_bytes(column: str) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: A table of at most so many rows of a few short columns (some 100 bytes each) may be broadcast.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """big joined to small, which is a stored table with one narrow row per key.
+
+    Its rows are counted first: up to BROADCAST_ROWS it is broadcast and big stays where it is. Beyond that both are dealt
+    by key and salt, small once for each salt, so that no key's rows meet in one task.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
+    salted = small.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+    return big.withColumn("_salt", F.spark_partition_id() % SALTS).join(salted, [key, "_salt"], how).drop("_salt")
