@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, quality, token_counts
+from . import packing, quality, token_counts, topk, warc
 
 QUERIES = {
+    "op1_exact_top_k": topk.op1_exact_top_k,
+    "op2_warc": warc.op2_warc,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_host_quality_rules": quality.op5_host_quality_rules,
     "op7_harmonic_packing": packing.op7_harmonic_packing,
 }
 
 ORACLES = {
+    "op1_exact_top_k": topk.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
     "op5_host_quality_rules": quality.OP5_SQL,
 }
