@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, quality, token_counts, topk, warc
+from . import packing, quality, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_warc": warc.op2_warc,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_simhash_dedup": simhash.op4_simhash_dedup,
     "op5_host_quality_rules": quality.op5_host_quality_rules,
     "op7_harmonic_packing": packing.op7_harmonic_packing,
 }

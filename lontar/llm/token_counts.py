@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import encoder
-from .shared import read_table, small_batches, workspace
+from .shared import read_table, small_batches, stored, workspace
 
 LIMIT = 512
 _SCHEMA = "digest binary, n_tokens long"
@@ -59,7 +59,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     if _exists(spark, at):
         distinct = distinct.join(spark.read.schema(_SCHEMA).parquet(at).select("digest").distinct(), "digest", "left_anti")
     distinct.mapInArrow(_counter(tokenizer), _SCHEMA).write.mode("append").parquet(at)
-    counts = spark.read.schema(_SCHEMA).parquet(at).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Stored, so that the join below deals out both of its sides itself and can split a digest that many rows have.
+    counts = stored(spark.read.schema(_SCHEMA).parquet(at).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("digest"))
     return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
