@@ -103,8 +103,8 @@ def _packed(path: str, capacity: int, least: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                packer.add(doc_id, ids(text) + end)
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), ids(batch.column("text")), strict=True):
+                packer.add(doc_id, own + end)
             yield out()
         packer.finish()
         yield out()
