@@ -93,6 +93,8 @@ class Best:
         self.least = np.full(n, -np.inf)  # what a score must reach
 
     def add(self, query: np.ndarray, score: np.ndarray, vec_id: np.ndarray) -> None:
+        if not len(query):
+            return
         order = np.argsort(query, kind="stable")
         query, score, vec_id = query[order], score[order], vec_id[order]
         which, starts = np.unique(query, return_index=True)
