@@ -33,7 +33,7 @@ from .shared import lookup, read_table, small_batches, stored, text_bytes, works
 DATE = "1970-01-01T00:00:00Z"
 ARCHIVE_BYTES = 256 << 20
 #: Ranges at most so far apart are read at once, up to so many bytes; a task's unit of reading.
-GAP_BYTES, READ_BYTES, SEGMENT_BYTES = 64 << 10, 8 << 20, 32 << 20
+GAP_BYTES, READ_BYTES, SEGMENT_BYTES = 64 << 10, 8 << 20, 8 << 20
 INDEX = "archive string, offset long, length long, url string, page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _ID = "urn:lontar:page:"
@@ -162,7 +162,10 @@ def _reader(folder: str, payloads: bool):
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the rows of index name, as RECORD (without the payload if payloads is false)."""
     segment = F.floor(F.col("offset") / SEGMENT_BYTES)
-    dealt = index.select("archive", "offset", "length", segment.alias("_segment")).repartition("archive", "_segment").sortWithinPartitions("archive", "offset")
+    # As many tasks as segments: the index rows are few bytes, what they point to is not.
+    tasks = -(-(index.agg(F.sum("length").alias("n")).first().n or 1) // SEGMENT_BYTES)
+    narrow = index.select("archive", "offset", "length", segment.alias("_segment"))
+    dealt = narrow.repartition(tasks, "archive", "_segment").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(_reader(folder, payloads), RECORD if payloads else RECORD.rpartition(", ")[0])
 
 
