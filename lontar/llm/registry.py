@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, token_counts, topk, warc
+from . import bpe, packing, pii, quality, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_simhash_dedup": simhash.op4_simhash_dedup,
     "op5_host_quality_rules": quality.op5_host_quality_rules,
+    "op6_semi_markov_pii": pii.op6_semi_markov_pii,
     "op7_harmonic_packing": packing.op7_harmonic_packing,
+    "op8_duckdb_bpe": bpe.op8_duckdb_bpe,
 }
 
 ORACLES = {
