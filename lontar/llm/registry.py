@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, pii, quality, simhash, substrings, token_counts, topk, warc
+from . import bpe, maxent, packing, pii, quality, simhash, substrings, token_counts, topk, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_semi_markov_pii": pii.op6_semi_markov_pii,
     "op7_harmonic_packing": packing.op7_harmonic_packing,
     "op8_duckdb_bpe": bpe.op8_duckdb_bpe,
+    "op9_hashed_maxent": maxent.op9_hashed_maxent,
     "op10_suffix_dedup": substrings.op10_suffix_dedup,
 }
 
