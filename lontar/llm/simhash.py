@@ -30,7 +30,7 @@ SEED = 42
 SHINGLE = 3
 DISTANCE = 2
 #: Fingerprints in a group; children of a node; members under a lowest node; visitors searched at once.
-GROUP, FAN, LEAF, VISITORS = 32_768, 8, 16, 1024
+GROUP, FAN, LEAF, VISITORS = 1 << 17, 8, 16, 1024
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
