@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import read_table, small_batches, stored, text_bytes
@@ -208,7 +209,7 @@ def near_links(distinct: DataFrame, most: int = DISTANCE, group: int = GROUP) ->
     n = distinct.count()
     dealt = distinct.withColumn("_rank", gray_rank("fp")).repartitionByRange(max(1, -(-n // group)), "_rank")
     grouped = stored(dealt.select("fp", F.spark_partition_id().alias("grp"), "_rank"), "gray")
-    # One row per group, a 32,768th of the fingerprints: their shared bits, by place in Gray order.
+    # One row per group of up to some 131,072 fingerprints: their shared bits, by place in Gray order.
     rows = grouped.groupBy("grp").agg(F.bit_and("fp").alias("one"), F.bit_or("fp").alias("some"), F.min("_rank").alias("r")).orderBy("r").collect()
     one, some = (np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in ("one", "some"))
     numbers = [r.grp for r in rows]
@@ -223,16 +224,42 @@ def near_links(distinct: DataFrame, most: int = DISTANCE, group: int = GROUP) ->
     return routed.repartition("grp").sortWithinPartitions("grp", "visitor").mapInArrow(_searcher(most), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    found = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+def named(found: DataFrame, most: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """fp, component_id for each distinct fingerprint of found(doc_id, fp), and the component's root."""
     least = stored(found.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
     roots = components(near_links(least.select("fp"), most, group))
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted, "roots")
-    firsts = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = stored(rooted.join(stored(firsts, "firsts"), "root").select("fp", "component_id"), "named")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    firsts = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "firsts")
+    return stored(rooted.join(firsts, "root").select("fp", "root", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    found = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    return found.join(named(found, most, group).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        f = np.array([fingerprint(t) for t in batch.column("_bytes").to_pylist()], np.uint64)
+        yield batch.drop_columns(["_bytes"]).append_column("_fp", pa.array(f.view(np.int64)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (of several such rows, one with the
+    smallest fingerprint; of a component without any doc_id, one row)."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    marked = stored(docs.withColumn("_bytes", text_bytes(text_col)).mapInArrow(_with_fingerprint, schema), "documents")
+    found = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
+    joined = found.join(named(found, most, group), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(joined.groupBy("root").agg(F.min("fp").alias("_kept_fp"), F.min("doc_id").alias("_kept_id")), "kept")
+    same = (marked["_fp"] == kept["_kept_fp"]) & marked[id_col].cast("long").eqNullSafe(kept["_kept_id"])
+    out = marked.join(kept, same, "left_semi")
+    if found.count() > found.distinct().count():  # rows repeated with id and text
+        out = out.dropDuplicates([id_col, "_fp"])
+    return out.drop("_fp")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
