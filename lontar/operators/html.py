@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab
 from ..functions.text import substituted
@@ -96,7 +97,7 @@ def join_initials(html: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dropcap_html(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """join_initials over a column, in Arrow batches; null stays null."""
     for html in pages:

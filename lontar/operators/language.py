@@ -19,9 +19,9 @@ STOP_WORDS = {
 
 
 def detect_language(text: Column) -> Column:
-    """The language with the most function words (ties: the first by name), unknown if none occurs."""
+    """The language with the most different function words (ties: the first by name), unknown if none occurs."""
     w = words(F.lower(text))
-    counts = [F.size(F.filter(w, lambda x, ws=ws: x.isin(ws))) for ws in STOP_WORDS.values()]
+    counts = [F.size(F.array_intersect(F.array_distinct(w), F.array(*map(F.lit, ws)))) for ws in STOP_WORDS.values()]
     most = F.greatest(*counts)
     best = F.when(most == 0, "unknown")
     for lang, n in zip(STOP_WORDS, counts, strict=True):
