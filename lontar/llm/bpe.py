@@ -5,10 +5,10 @@ Each round of the recursion joins every pair of neighbours to the merge table an
 the left, in every piece; a piece without a pair that merges is finished. Tokens are decoded by joining them to the
 vocabulary and aggregating the bytes in order of position. Results are kept by piece, in a bounded cache.
 
-Within a round all pairs of a piece that have the least rank are contracted, from the left, not only the first: a token
-made in a round can't make a pair of lower rank, as every token of the vocabulary is what its own bytes encode to.
-Pieces of over LONG bytes use a query that also does this within runs of one pair (a hundred thousand equal characters
-take some ten rounds); others take the first pair of such a run in each round, which needs fewer windows.
+Pieces of over LONG bytes use a query that contracts all of a piece's pairs of the least rank in a round, within runs
+every other one from the left, so that a hundred thousand equal characters take some ten rounds. This gives the same
+tokens: one made in a round can't make a pair of lower rank, as every token of the vocabulary is what its own bytes
+encode to (a test goes through all of them).
 
 Null and empty texts have no ids and decode to nothing; repeated rows give repeated results; null ids stay null; an
 empty table gives an empty result; other columns play no part. Special strings in texts are ordinary text.
@@ -17,6 +17,7 @@ empty table gives an empty result; other columns play no part. Special strings i
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,28 +34,35 @@ from .shared import read_table, small_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of one recursive query, by bytes; the length from which a piece counts as long; what a worker remembers.
-QUERY_BYTES, LONG, REMEMBERED = 400_000, 200, 500_000
-
-_PAIRS = """
-    SELECT p.word, p.pos, p.tok, m.id AS rank, min(m.id) OVER (PARTITION BY p.word) AS best
-    FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM step WHERE NOT done) p
-    LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.nxt"""
-_SHORT = f"""
-  SELECT word, pos, CASE WHEN rank = best AND r1 IS DISTINCT FROM best THEN rank ELSE tok END, best IS NULL
-  FROM (SELECT *, lag(rank, 1) OVER w AS r1, lag(rank, 2) OVER w AS r2 FROM ({_PAIRS}) WINDOW w AS (PARTITION BY word ORDER BY pos))
-  WHERE NOT coalesce(r1 = best AND r2 IS DISTINCT FROM best, false)"""
-_RUNS = f"""
-  SELECT word, pos, CASE WHEN now THEN rank ELSE tok END, best IS NULL
+QUERY_BYTES, LONG, REMEMBERED = 1_200_000, 200, 2_000_000
+
+#: Rows are linked by nxt. A round finds each piece's leftmost pair of least rank and contracts it.
+_SHORT = """
+  SELECT p.word, p.pos, CASE WHEN p.pos = q.at THEN q.rank ELSE p.tok END, CASE WHEN p.pos = q.at THEN q.after ELSE p.nxt END, q.rank IS NULL
+  FROM step p JOIN (
+    SELECT a.word, min(m.id::BIGINT * 4294967296 + a.pos) AS least, (least >> 32)::INT AS rank, (least & 4294967295)::INT AS at,
+      arg_min(a.nxt, m.id::BIGINT * 4294967296 + a.pos) AS gone, arg_min(b.nxt, m.id::BIGINT * 4294967296 + a.pos) AS after
+    FROM step a LEFT JOIN step b ON b.pos = a.nxt AND NOT b.done LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 1048576 + b.tok
+    WHERE NOT a.done GROUP BY a.word) q ON q.word = p.word
+  WHERE NOT p.done AND p.pos IS DISTINCT FROM q.gone"""
+#: All pairs of least rank at once: of a run of them every other one, from the left.
+_LONG = """
+  SELECT word, pos, CASE WHEN now THEN rank ELSE tok END, nxt, best IS NULL
   FROM (
     SELECT *, lag(now) OVER (PARTITION BY word ORDER BY pos) AS gone
     FROM (
       SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 AS now
       FROM (
         SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run
-        FROM (SELECT *, coalesce(rank = best, false) AS hit FROM ({_PAIRS})))))
+        FROM (
+          SELECT *, coalesce(rank = best, false) AS hit
+          FROM (
+            SELECT p.word, p.pos, p.tok, p.nxt, m.id AS rank, min(m.id) OVER (PARTITION BY p.word) AS best
+            FROM (SELECT word, pos, tok, nxt, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM step WHERE NOT done) p
+            LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.following)))))
   WHERE NOT coalesce(gone, false)"""
 _QUERY = """
-WITH RECURSIVE step(word, pos, tok, done) AS (SELECT word, pos, tok, false FROM start UNION ALL {round})
+WITH RECURSIVE step(word, pos, tok, nxt, done) AS (SELECT word, pos, tok, nxt, false FROM start UNION ALL {round})
 SELECT word, count(*) AS n, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
 FROM step JOIN vocab ON vocab.id = tok WHERE done GROUP BY word ORDER BY word
 """
@@ -74,7 +82,8 @@ class Bpe(Encoder):
         # White space as the vocabulary's own library has it.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.cuts = pattern == public_tokenizers.PATTERN
-        self.known, self.pieces = {}, {}
+        gc.set_threshold(200_000, 50, 100)  # the caches hold no cycles; walking through them often costs much
+        self.known, self.pieces, self.remembered = {}, {}, 600_000
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         pair, made = [], []
         for token, rank in self.ranks.items():
@@ -95,17 +104,20 @@ class Bpe(Encoder):
         whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
         n = np.array([len(p) if w < 0 else 1 for p, w in zip(pieces, whole, strict=True)], np.int64)
         word = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
-        start = np.cumsum(n) - n
+        pos = np.arange(len(word), dtype=np.int32)
+        nxt = pos + 1
+        nxt[np.cumsum(n) - 1] = -1
         tok = np.repeat(whole, n).astype(np.int32)
         tok[tok < 0] = self.byte[np.frombuffer(b"".join(p for p, w in zip(pieces, whole, strict=True) if w < 0), np.uint8)]
-        self.db.register("start", pa.table({"word": word, "pos": np.arange(len(word)) - np.repeat(start, n), "tok": tok}))
+        self.db.register("start", pa.table({"word": word, "pos": pos, "tok": tok, "nxt": nxt}))
         found = self.db.execute(_QUERY.format(round=round_)).fetchall()
         self.db.unregister("start")
         for i, count, ids, hex_ in found:
-            self.pieces[pieces[i]] = count, ids.encode(), bytes.fromhex(hex_)
+            piece, decoded = pieces[i], bytes.fromhex(hex_)
+            self.pieces[piece] = count, ids.encode(), piece if decoded == piece else decoded  # one copy in memory
 
     def _encode_pieces(self, new: list[bytes]) -> None:
-        for round_, some in ((_SHORT, [p for p in new if len(p) <= LONG]), (_RUNS, [p for p in new if len(p) > LONG])):
+        for round_, some in ((_SHORT, [p for p in new if len(p) <= LONG]), (_LONG, [p for p in new if len(p) > LONG])):
             group, size = [], 0
             for piece in some:
                 group.append(piece)
@@ -127,8 +139,10 @@ class Bpe(Encoder):
     def _joined(parts: list[tuple]) -> tuple[int, bytes, bytes]:
         if len(parts) == 1:
             return parts[0]
-        n, ids, decoded = zip(*parts, strict=True) if parts else ((), (), ())
-        return sum(n), b" ".join(x for x in ids if x), b"".join(decoded)
+        if not parts:
+            return 0, b"", b""
+        n, ids, decoded = zip(*parts, strict=True)
+        return sum(n), b" ".join(ids), b"".join(decoded)
 
     def learn(self, words: list[str]) -> None:
         plain = [w[1:] if w[:1] == FIRST else w if w == "\n" else f" {w}" for w in words]
@@ -141,9 +155,12 @@ class Bpe(Encoder):
                     yield self._looked_up([text])[0]
                 continue
             offsets, number, parts = self._cut(some)
+            count, ids, decoded = zip(*parts, strict=True)
+            counts = np.add.reduceat(np.array(count, np.int64)[number], offsets[:-1]).tolist()
             at, number = offsets.tolist(), number.tolist()
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                yield self._joined([parts[i] for i in number[a:b]])
+            for n, a, b in zip(counts, at[:-1], at[1:], strict=True):
+                own = number[a:b]
+                yield n, b" ".join(map(ids.__getitem__, own)), b"".join(map(decoded.__getitem__, own))
 
 
 _made: dict[tuple, Bpe] = {}

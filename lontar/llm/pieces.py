@@ -54,7 +54,7 @@ class Encoder:
                 moved = [b for b in range(256) if b not in kept]
                 self.letters = {b: 256 + i for i, b in enumerate(moved)}
                 self.space = chr(self.letters[32])
-        self.known: dict[str, bytes] = {}
+        self.known, self.remembered = {}, REMEMBERED
 
     def learn(self, words: list[str]) -> None:
         """Encode new words: Latin letters, perhaps with a point or comma, by the library's model alone, as they are one
@@ -86,7 +86,7 @@ class Encoder:
         words = numbered.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) + len(new) > self.remembered:
                 self.known.clear()
                 new = words
             self.learn(new)
