@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import vocab
+from .. import ml, vocab
 from ..functions import urls
 from ..functions.text import barrier, trimmed
 from ..operators import clean, corpus, dedup, frontier, html, language, ratelimit, rules
 from ..operators import sentences as sentence_ops
 from ..sources import storage
+from ..streaming import pages as streams
 from . import extract, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -644,3 +645,57 @@ def crawl_metrics(spark, sf_dir):
 @query("SELECT domain, count(*) AS queued FROM (SELECT " + oracle.url_domain("url") + " AS domain FROM pages) GROUP BY domain")
 def queue_by_domain(spark, sf_dir):
     return storage.pages_as_tasks(table(spark, sf_dir, "pages")).groupBy("domain").agg(F.count("*").alias("queued"))
+
+
+# ---- streams and the classifier --------------------------------------------------------------------------------------
+
+
+def _arriving(df: DataFrame, parts: list, name: str) -> DataFrame:
+    """df as a file stream, its parts (conditions) arriving one after the other."""
+    spark, path = df.sparkSession, storage.work_folder(df.sparkSession, name)
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("SELECT DISTINCT md5(text) AS content_hash FROM documents")
+def stream_content_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stream = streams.content_dedup(_arriving(docs, ["doc_id % 2 = 0", "doc_id % 2 = 1"], "arriving"), "text").select("content_hash")
+    path = storage.work_folder(spark, "stream")
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("content_hash string").parquet(f"{path}/out")
+
+
+@query(f"SELECT {_RECORDS} FROM documents")
+def sink_periodic(spark, sf_dir):
+    rows = corpus.map_output(_records(spark, sf_dir))
+    path = storage.work_folder(spark, "stream")
+    streams.flush_by_class(_arriving(rows, ["Label <> 'En'", "Label = 'En'"], "arriving"), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(*vocab.OUTPUT_COLUMNS)
+
+
+@query("SELECT domain, status, adaptive_delay, extra_delay, successes, errors_429, errors_503, other_errors FROM (" + ORACLES["rate_limit_fold"] + ")")
+def stream_rate_limits(spark, sf_dir):
+    events = _fetches(spark, sf_dir).select("domain", F.col("event_id").alias("seq"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"), "status")
+    half = events.agg((F.max("seq") / 2).alias("h")).first().h
+    path = storage.work_folder(spark, "stream")
+    states = streams.rate_limits(_arriving(events, [F.col("seq") <= half, F.col("seq") > half], "arriving"))
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/out").groupBy("domain").agg(F.max_by(F.struct("*"), "events").alias("s")).select("s.*")
+    return last.select("domain", "status", "adaptive_delay", "extra_delay", "successes", "errors_429", "errors_503", "other_errors")
+
+
+@query()
+def train_classifier(spark, sf_dir):
+    """A classifier of languages: balanced, split, trained, judged on the test part."""
+    labels = {"de": 0, "en": 1, "es": 2, "fr": 3}
+    docs = corpus.label_ids(table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("Sentence_Unit")), labels, "lang")
+    rows = corpus.stratified_split(corpus.balance(docs, "lang", "doc_id"), "lang", "doc_id")
+    model = ml.train(rows.filter("split = 'train'"))
+    scored = ml.classify(model, rows.filter("split = 'test'"), labels)
+    return ml.evaluate(scored.select("lang", "predicted"), "lang", "predicted", list(labels))
