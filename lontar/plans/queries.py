@@ -549,7 +549,7 @@ def balance_undersample(spark, sf_dir):
     return corpus.balance(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query(f"WITH {_RANKED} SELECT doc_id, lang FROM ranked WHERE n <= 25")
+@query(f"WITH {_RANKED} SELECT doc_id, lang FROM ranked WHERE n <= least((SELECT min(every) FROM ranked), 25)")
 def balance_capped(spark, sf_dir):
     return corpus.balance(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", cap=25)
 
