@@ -49,7 +49,7 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float = SCA
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), d)
 
 
 def _moments(d: int):
@@ -126,7 +126,7 @@ class Search:
         least = least - slack
         active = np.flatnonzero(self.norm * norm.max(initial=0.0) >= least)
         if not self.heads or not len(active):
-            row, query = np.indices((len(x), len(active))).reshape(2, -1)
+            row, query = np.indices((len(x), len(active))).reshape(2, len(x) * len(active))
             return row, active[query]
         h, rest = self.heads[0], np.sqrt((y[:, self.heads[0] :] ** 2).sum(axis=1))
         bound = y[:, :h] @ self.rotated[active, :h].T + rest[:, None] * self.rest[0][active]
@@ -178,13 +178,13 @@ def top_k(vectors: DataFrame, query_filter, k: int = K, id_col: str = "vec_id",
         same = ordered.filter(F.size("v") == d)
         turn = rotation(same, d)
         longest = same.orderBy(F.desc("norm2"), "vec_id").limit(SEED_ROWS).collect()
-        long_ids, long_x = np.array([r.vec_id for r in longest], np.int64), np.array([r.v for r in longest], np.int64).reshape(-1, d)
+        long_ids, long_x = np.array([r.vec_id for r in longest], np.int64), np.array([r.v for r in longest], np.int64).reshape(len(longest), d)
         blocks = -(-n // query_block)
         for block in range(blocks):
             rows = queries.filter((F.size("v") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).collect()
             if not rows:
                 continue
-            search = Search(np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.int64).reshape(-1, d), turn, k)
+            search = Search(np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.int64).reshape(len(rows), d), turn, k)
             best = Best(len(rows), k)
             search.meet(long_ids, long_x, best)
             sent = spark.sparkContext.broadcast((search, first, best.least))
