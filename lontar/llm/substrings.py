@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from .shared import read_table, small_batches, stored, text_bytes
 
 WINDOW = 13
-#: Bytes of text in a block, and behind a group of suffixes.
-BLOCK_BYTES, GROUP_BYTES = 16 << 20, 12 << 20
+#: Bytes of text in a block, and behind a group of suffixes; groups of a task, as hashing deals few large ones unevenly.
+BLOCK_BYTES, GROUP_BYTES, TASK_GROUPS = 16 << 20, 3 << 19, 8
 #: Frequent prefixes sent to the tasks at most (8 bytes each); if there were more, groups would be larger.
 FREQUENT = 1_000_000
 _BINS = 20  # bits by which prefixes are counted
@@ -312,10 +312,10 @@ def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out:
             frequent.setdefault(r.length, []).append(r.bin)
     sorted_bins = {length: np.array(sorted(bins), np.int64) for length, bins in frequent.items()}
     sent = texts.mapInArrow(_sender(sorted_bins, groups), "grp long, block int, suffixes binary")
-    trees = sent.repartition(groups, "grp").sortWithinPartitions("grp", "block").mapInArrow(_trees, "block int, nodes binary")
+    trees = sent.repartition(-(-groups // TASK_GROUPS), "grp").sortWithinPartitions("grp", "block").mapInArrow(_trees, "block int, nodes binary")
     files = blocks.select("block", F.col("_metadata.file_path").alias("path")).distinct()
     told = files.withColumn("nodes", F.lit(None).cast("binary")).unionByName(trees.withColumn("path", F.lit(None).cast("string")))
-    per_block = told.repartition(n_blocks, "block").sortWithinPartitions("block", F.col("path").isNull())
+    per_block = told.repartition(3 * n_blocks, "block").sortWithinPartitions("block", F.col("path").isNull())
     return per_block.mapInArrow(_settler(answer, to_arrow_schema(out), with_row), out)
 
 
