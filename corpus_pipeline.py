@@ -13,33 +13,58 @@ handled as the stages' operators say: quality rules drop empty documents, and la
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lontar.llm.packing import harmonic_packing
 from lontar.llm.pii import redacted
 from lontar.llm.quality import keep_good
-from lontar.llm.shared import read_table, stored
+from lontar.llm.shared import discard, made, read_table, stored
 from lontar.llm.simhash import keep_one
 from lontar.llm.substrings import without_repeats
 
+_tables: list[str] = []
+
+
+def stage(f):
+    """A stage that removes the intermediate tables of the stage called before it: what that one returned is written by
+    then, as every stage's result is written and read again before the next stage gets it."""
+
+    @wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(_tables)
+        _tables.clear()
+        before = set(made())
+        out = f(spark, docs, sf_dir)
+        _tables.extend(path for path in made() if path not in before)
+        return out
+
+    return call
+
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_repeats(docs, count_col="n_chars")
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redacted(docs, count_col="n_chars")
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return harmonic_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,6 +83,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name, "snappy")
+    for name, apply in STAGES:
+        docs = stored(apply(spark, docs, sf_dir), name, "snappy")
     return docs

@@ -50,10 +50,15 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def discard() -> None:
-    """Remove the folders made so far. Frames that read them can't be used afterwards."""
-    while _made:
-        spark, path = _made.pop()
+def made() -> list[str]:
+    """The folders made so far that are still there."""
+    return [path for _, path in _made]
+
+
+def discard(paths: list[str] | None = None) -> None:
+    """Remove the folders made so far, or those named. Frames that read them can't be used afterwards."""
+    for spark, path in [x for x in _made if paths is None or x[1] in paths]:
+        _made.remove((spark, path))
         with contextlib.suppress(Exception):  # the session may have ended
             remove(spark, path)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import read_table, small_batches, stored, text_bytes
+from .shared import read_table, small_batches, stored
 
 WINDOW = 13
 #: Bytes of text in a block, and behind a group of suffixes; groups of a task, as hashing deals few large ones unevenly.
@@ -135,7 +135,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
                     block.close()
                     yield number, block
                 number, block = own, Block()
-            block.add(text.split())
+            block.add((text or b"").split())
     if number is not None:
         block.close()
         yield number, block
@@ -230,7 +230,7 @@ def _judge(batch: pa.RecordBatch, marks: list[np.ndarray], schema: pa.Schema) ->
     """Rows of SCHEMA."""
     rows = []
     for doc_id, text, gone in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), marks, strict=True):
-        words = text.split()
+        words = (text or b"").split()
         kept = b" ".join(words) if not gone.any() else b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
         rows.append((doc_id, len(words), int(gone.sum()), _runs(gone), hashlib.sha256(kept).hexdigest()))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -240,9 +240,8 @@ def _rewriter(text_col: str, count_col: str | None) -> Callable:
     def rewrite(batch: pa.RecordBatch, marks: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
         """The rows of the input, their texts without what repeats."""
         given = batch.column("row")
-        columns = {schema.field(i).name: given.field(i) for i in range(given.type.num_fields)}
-        was_null = columns[text_col].is_null().to_pylist()
-        texts = [None if n else without(t, g).decode() for n, t, g in zip(was_null, batch.column("text").to_pylist(), marks, strict=True)]
+        columns = {given.type.field(i).name: given.field(i) for i in range(given.type.num_fields)}
+        texts = [None if t is None else without(t, g).decode() for t, g in zip(batch.column("text").to_pylist(), marks, strict=True)]
         columns[text_col] = pa.array(texts, pa.string())
         if count_col:
             columns[count_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
@@ -263,7 +262,7 @@ def _settler(answer: Callable, schema: pa.Schema, with_row: bool):
             for batch in table.iter_batches(1000, columns=["id", "text"]):
                 ids += batch.column("id").to_pylist()
                 for text in batch.column("text").to_pylist():
-                    block.add(text.split())
+                    block.add((text or b"").split())
             block.close()
             gone = _removed(block, np.array(ids, np.int64), known)
             marks = np.split(gone, np.cumsum(block.lengths)[:-1]) if block.lengths else []
@@ -296,9 +295,9 @@ def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out:
     given = docs.filter(F.col(id_col).isNotNull())
     size = given.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     n_blocks, groups = max(1, -(-size // block_bytes)), max(1, -(-size // group_bytes))
-    columns = [F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")]
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")]
     if with_row:
-        columns.append(F.struct(*docs.columns).alias("row"))
+        columns.append(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
     dealt = given.select(*columns).repartitionByRange(n_blocks, "id").sortWithinPartitions("id").withColumn("block", F.spark_partition_id())
     blocks = stored(dealt, "blocks")
     texts = blocks.select("block", "text")
