@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import ml, vocab
 from ..functions import urls
+from ..functions.sql import register
 from ..functions.text import barrier, trimmed
 from ..operators import clean, corpus, dedup, frontier, html, language, ratelimit, rules
 from ..operators import sentences as sentence_ops
@@ -699,3 +700,29 @@ def train_classifier(spark, sf_dir):
     model = ml.train(rows.filter("split = 'train'"))
     scored = ml.classify(model, rows.filter("split = 'test'"), labels)
     return ml.evaluate(scored.select("lang", "predicted"), "lang", "predicted", list(labels))
+
+
+# ---- the rest --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT domain, status, extra_delay, (1700000000.0 < cooldown_until) AS cooling_down, (extra_delay > 0) AS slowed, greatest(0.0, cooldown_until - 1700000000.0) AS cooldown_remaining FROM (" + ORACLES["rate_limit_fold"] + ")")
+def domain_health(spark, sf_dir):
+    return ratelimit.domain_report(rate_limit_fold(spark, sf_dir), F.lit(1.7e9)).drop("errors_429", "errors_503")
+
+
+@query(f"SELECT page_id, {oracle.url_domain('url')} AS domain, {oracle.url_normalize('url')} AS normalized, len({oracle.words('url')}) AS n FROM pages")
+def sql_functions(spark, sf_dir):
+    """The functions that SQL users have."""
+    register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("lontar_pages")
+    return spark.sql("SELECT page_id, lontar_url_domain(url) AS domain, lontar_url_normalize(url) AS normalized, cast(size(lontar_text_words(url)) AS BIGINT) AS n FROM lontar_pages")
+
+
+@query("SELECT url, min(page_id) AS page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) GROUP BY url")
+def sink_boundary(spark, sf_dir):
+    """First-wins by URL, minus visited, written as JSON and read again."""
+    pages = table(spark, sf_dir, "pages").select("url", "page_id")
+    first = frontier.unvisited(pages.groupBy("url").agg(F.min("page_id").alias("page_id")), _visited(spark, sf_dir))
+    path = storage.work_folder(spark, "boundary")
+    storage.write_json(first, path)
+    return spark.read.schema("url string, page_id long").json(path)
