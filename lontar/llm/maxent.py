@@ -127,8 +127,8 @@ class Model:
             some = [r[a : a + ROWS] for r in rows]
             p = -self.softmax(some)
             p[np.arange(len(p)), y[a : a + ROWS]] += 1.0
-            for r in some:
-                order = np.argsort(r, kind="stable")
+            for r, first in zip(some, _OFFSETS, strict=False):
+                order = np.argsort((r - first).astype(np.uint16), kind="stable")  # of 16 bits: by radix
                 ordered = r[order]
                 starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
                 total[ordered[starts]] += np.add.reduceat(p[order], starts, axis=0)
@@ -319,7 +319,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         slabs = -(-len(model.weights) // SLAB)
         sums = share.mapInArrow(_trainer(broadcast), "slab int, total binary, seen binary").repartition(slabs, "slab").mapInArrow(_slab_sums, "slab int, total binary, seen binary")
         total, seen = np.zeros(model.weights.shape), np.zeros(len(model.weights))
-        for r in sums.toLocalIterator():  # the model's own size
+        for r in sums.collect():  # twice the size of the model
             at = r.slab * SLAB
             seen[at : at + SLAB] = np.frombuffer(r.seen, np.float64)
             total[at : at + SLAB] = np.frombuffer(r.total, np.float64).reshape(-1, CLASSES)
