@@ -42,24 +42,32 @@ def keyed_order(key: str, seed: int = SEED) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
 
 
-def min_class_size(df: DataFrame, label: str) -> int:
-    """Rows of the smallest class; one small action, so that the limit is a literal and ranks are cut in the map tasks."""
-    return df.groupBy(label).count().agg(F.min("count").alias("n")).first().n or 0
+def keyed_rank(df: DataFrame, label: str, key: str, seed: int = SEED) -> DataFrame:
+    """df with ``_n``, each row's rank within its class in keyed order, and ``_all``, the rows of the class.
+
+    Hashes fall into BUCKETS by their first digits; a rank is what lower buckets hold plus the rank within the bucket.
+    So no class is sorted in one task: what is gathered by class is a count for each bucket.
+    """
+    rows = df.withColumn("_h", keyed_order(key, seed)[0]).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = rows.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count("*").alias("_k"))
+    by_label = Window.partitionBy("_l")
+    before = counts.select("_l", "_c", F.sum("_k").over(by_label.orderBy("_c")).alias("_to"), "_k", F.sum("_k").over(by_label).alias("_all"))
+    joined = rows.join(before, (rows[label].eqNullSafe(before["_l"])) & (rows["_b"] == before["_c"]))
+    within = F.row_number().over(Window.partitionBy("_l", "_c").orderBy("_h", key))
+    return joined.select(*df.columns, (F.col("_to") - F.col("_k") + within).alias("_n"), "_all")
 
 
 def balance(df: DataFrame, label: str, key: str, cap: int | None = None, seed: int = SEED) -> DataFrame:
     """As many rows of each class as the smallest has (or cap, if that is less), drawn without replacement."""
-    n = min_class_size(df, label)
+    n = df.groupBy(label).count().agg(F.min("count").alias("n")).first().n or 0
     n = n if cap is None else min(n, cap)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*keyed_order(key, seed)))
-    return df.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n")
+    return keyed_rank(df, label, key, seed).filter(F.col("_n") <= n).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.1, seed: int = SEED) -> DataFrame:
     """df with ``split``: of each class, the first share in keyed order is test, the rest train."""
-    w = Window.partitionBy(label)
-    ranked = df.withColumn("_n", F.row_number().over(w.orderBy(*keyed_order(key, seed)))).withColumn("_all", F.count("*").over(w))
-    return ranked.withColumn("split", F.when(F.col("_n") <= F.floor(F.col("_all") * share + 0.5), "test").otherwise("train")).drop("_n", "_all")
+    ranked = keyed_rank(df, label, key, seed)
+    return ranked.select(*df.columns, F.when(F.col("_n") <= F.floor(F.col("_all") * share + 0.5), "test").otherwise("train").alias("split"))
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: list) -> DataFrame:

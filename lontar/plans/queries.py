@@ -607,8 +607,8 @@ def sink_pred_json(spark, sf_dir):
 @query("SELECT source, repeat('█', (floor(n * 20.0 / greatest(max(n) OVER (), 1)))::INT) || repeat('░', 20 - floor(n * 20.0 / greatest(max(n) OVER (), 1))::INT) AS bar FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def class_bars(spark, sf_dir):
     counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    top = counts.agg(F.greatest(F.max("n"), F.lit(1)).alias("top"))
-    return counts.crossJoin(F.broadcast(top)).select("source", corpus.bar(F.col("n") / F.col("top")).alias("bar"))
+    top = counts.agg(F.max("n").alias("top")).first().top or 1
+    return counts.select("source", corpus.bar(F.col("n") / F.lit(top)).alias("bar"))
 
 
 # ---- rate limits and counters ----------------------------------------------------------------------------------------
@@ -638,8 +638,9 @@ def rate_limit_fold(spark, sf_dir):
     "(sites + failed + dup) / (sites + failed + dup + queue) * 100 AS progress_percent FROM c"
 )
 def crawl_metrics(spark, sf_dir):
-    n = lambda name, alias, where="true": table(spark, sf_dir, name).filter(where).agg(F.count("*").alias(alias))
-    counters = n("pages", "sites").crossJoin(n("documents", "sentences")).crossJoin(n("events", "failed", "event_type = 'error'")).crossJoin(n("labels", "queue")).withColumn("duplicates", F.lit(7))
+    n = lambda name, what, where="true": table(spark, sf_dir, name).filter(where).agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    rows = n("pages", "sites").union(n("documents", "sentences")).union(n("events", "failed", "event_type = 'error'")).union(n("labels", "queue"))
+    counters = rows.agg(*[F.max(F.when(F.col("what") == c, F.col("n"))).alias(c) for c in ("sites", "sentences", "failed", "queue")], F.lit(7).alias("duplicates"))
     return ratelimit.crawl_metrics(counters, F.lit(600.0), F.lit(120.0))
 
 
