@@ -39,8 +39,8 @@ CLASSES = 1 + TOP + SUFFIXES
 #: Hash bits of the bigram, skip and trigram features.
 BITS = (13, 13, 14)
 ROUNDS, STEP, PRIOR = 4, 0.7, 8.0
-#: Bytes of text behind a group of word keys; rows of weights in a slab; tokens in a batch of softmax rows.
-GROUP_BYTES, SLAB, ROWS = 48 << 20, 2048, 1 << 14
+#: Bytes of text behind a group of word keys; groups of a task; rows of weights in a slab; tokens in a batch of softmax rows.
+GROUP_BYTES, TASK_GROUPS, SLAB, ROWS = 6 << 20, 8, 2048, 1 << 14
 END, START = np.uint64(0), np.uint64(16)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _SPACE_STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -200,24 +200,25 @@ def _sender(groups: int):
     return send
 
 
+_ADDED = "block int, words binary, counts binary, often array<long>, often_counts array<long>, sums array<long>"
+
+
 def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group. Answers each block with all texts' counts, and says what the group holds."""
-    names = ["block", "words", "counts", "group_words", "group_counts"]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("block", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("often", longs), ("often_counts", longs), ("sums", longs)])
 
     def answers(rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = [unpacked(w) for _, w, _ in rows]
         keys, counts = _counted(np.concatenate(parts), np.concatenate([_unplaned(c) for _, _, c in rows]))
-        for (block, words, _), own in zip(rows, parts, strict=True):
-            row = [block, words, _planes(counts[np.searchsorted(keys, own)]), None, None]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
-        # Sums by suffix group, and the words frequent enough to be among the TOP of this group.
+        told = [(block, words, _planes(counts[np.searchsorted(keys, own)]), None, None, None) for (block, words, _), own in zip(rows, parts, strict=True)]
+        # Sums by suffix group, and the words frequent enough to be among the TOP of all groups.
         known = counts > 0
         suffix = (keys & np.uint64(15)).astype(np.int64)
-        sums = np.concatenate([np.bincount(suffix[known], counts[known], SUFFIXES), np.bincount(suffix[known], minlength=SUFFIXES)]).astype(np.int64)
+        sums = [np.bincount(suffix[known], counts[known], SUFFIXES), np.bincount(suffix[known], minlength=SUFFIXES)]
         often = np.lexsort((keys, -counts))[: TOP + 1]
-        row = [None, None, None, keys[often].astype("<u8").tobytes(), np.concatenate([counts[often], sums]).astype("<i8").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+        told.append((None, None, None, keys[often].view(np.int64).tolist(), counts[often].tolist(), np.concatenate(sums).astype(np.int64).tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), schema, strict=True)], schema=schema)
 
     group, rows = None, []
     for batch in batches:
@@ -308,11 +309,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = blocks.agg(F.sum(F.length("text")).alias("n"), F.countDistinct("block").alias("blocks")).first()
     groups, n_blocks = max(1, -(-(size.n or 0) // group_bytes)), max(1, size.blocks)
     sent = blocks.select("block", "held", "text").mapInArrow(_sender(groups), "grp long, block int, words binary, counts binary")
-    added = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_adder, "block int, words binary, counts binary, group_words binary, group_counts binary")
-    added = stored(added, "lm-counts")
-    # A row of some 400 bytes per group of words.
-    held_by = [(np.frombuffer(r.group_words, "<u8"), np.frombuffer(r.group_counts, "<i8")) for r in added.filter("block IS NULL").select("group_words", "group_counts").collect()]
-    model, tokens, words = _model(held_by)
+    added = stored(sent.repartition(-(-groups // TASK_GROUPS), "grp").sortWithinPartitions("grp").mapInArrow(_adder, _ADDED), "lm-counts")
+    whole = added.filter("block IS NULL")
+    often = whole.select(F.explode(F.arrays_zip("often", "often_counts")).alias("w")).select("w.often", "w.often_counts")
+    top = often.filter(F.col("often") != int(END)).orderBy(F.desc("often_counts"), "often").limit(TOP).collect()
+    sums = np.zeros(2 * SUFFIXES, np.int64)
+    for r in whole.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        sums[r.at] = r.n
+    model, tokens, words = _model([(r.often_counts, r.often % (1 << 64)) for r in top if r.often_counts > 0], blocks.filter(~F.col("held")).count(), sums)
     for turn in range(rounds if tokens else 0):
         share = blocks.filter(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn)).select("text")
         broadcast = spark.sparkContext.broadcast(model)
@@ -332,17 +336,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return per_block.mapInArrow(_scorer(broadcast, tokens, words), SCHEMA)
 
 
-def _model(held_by: list[tuple[np.ndarray, np.ndarray]]) -> tuple[Model, int, int]:
-    """The untrained model, and how many tokens and distinct words the training texts have."""
-    often = [(int(c), int(k)) for keys, row in held_by for k, c in zip(keys, row[: len(keys)], strict=True) if c > 0]
-    sums = sum((row[-2 * SUFFIXES :] for _, row in held_by), np.zeros(2 * SUFFIXES, np.int64))
-    ends = sum(c for c, k in often if k == int(END))
-    top = sorted((x for x in often if x[1] != int(END)), key=lambda x: (-x[0], x[1]))[:TOP]
+def _model(top: list[tuple[int, int]], ends: int, sums: np.ndarray) -> tuple[Model, int, int]:
+    """The untrained model, and how many tokens and distinct words the training texts have. top: (count, key) of the most
+    frequent words, ends: the training texts; sums: tokens, then distinct words, by suffix group, ends of texts included."""
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
     tokens[0], words[0] = ends, int(ends > 0)
     tokens[1 : 1 + len(top)], words[1 : 1 + len(top)] = [c for c, _ in top], 1
     tokens[1 + TOP :], words[1 + TOP :] = sums[:SUFFIXES], sums[SUFFIXES:]
-    for c, k in [*top, *([(ends, int(END))] if ends else [])]:
+    for c, k in [*top, *([(ends, int(END))] if ends else [])]:  # these are classes of their own
         tokens[1 + TOP + (k & 15)] -= c
         words[1 + TOP + (k & 15)] -= 1
     return Model(np.array([k for _, k in top], np.uint64), tokens, words), int(sums[:SUFFIXES].sum()), int(sums[SUFFIXES:].sum())

@@ -56,7 +56,8 @@ def test_probabilities_add_up():
     assert n.tolist() == [7, 1, 4] and keys[6] == maxent.END and keys[0] == keys[4] == keys[9]
     known = np.unique(keys)
     counts = np.array([int((keys == k).sum()) for k in known])
-    model, tokens, words = maxent._model([(known[np.lexsort((known, -counts))], np.concatenate([np.sort(counts)[::-1], *_sums(known, counts)]))])
+    top = [(int(counts[i]), int(known[i])) for i in np.lexsort((known, -counts)) if known[i] != maxent.END]
+    model, tokens, words = maxent._model(top[: maxent.TOP], 3, np.concatenate(_sums(known, counts)))
     assert tokens == 12 and words == len(known)
     total = np.zeros(model.weights.shape)
     seen = np.zeros(len(model.weights))
