@@ -79,7 +79,7 @@ def _rules() -> dict:
     return {
         "base": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
-        "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.greatest(F.col("n_words"), F.lit(1)),
+        "dup_lines": 50 * F.col("n_dup_lines") > F.greatest(F.col("n_words"), F.lit(1)),
     }
 
 
@@ -105,12 +105,12 @@ def host_verdicts(features: DataFrame, rates: dict[str, float] | None = None) ->
         .agg(F.count("*").alias("n_docs"), *[F.sum(rules[r].cast("long")).alias(f"{r}_failed") for r in rates])
     )
     raw = {r: F.col(f"{r}_failed") / F.col("n_docs") for r in rates}
-    moments = hosts.agg(*[x for r in rates for x in (F.avg(raw[r]).alias(f"{r}_m"), F.var_pop(raw[r]).alias(f"{r}_v"))])
-    out = hosts.crossJoin(F.broadcast(moments))  # one row
-    refused = F.lit(False)
+    hosts = stored(hosts, "hosts")
+    moments = hosts.agg(*[x for r in rates for x in (F.avg(raw[r]).alias(f"{r}_m"), F.var_pop(raw[r]).alias(f"{r}_v"))]).first()  # two figures a rule
+    out, refused = hosts, F.lit(False)
     for r, most in rates.items():
-        m, v = F.col(f"{r}_m"), F.col(f"{r}_v")
-        strength = F.when(v <= 0, F.lit(1e6)).otherwise(F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1e6)))
+        m, v = moments[f"{r}_m"] or 0.0, moments[f"{r}_v"] or 0.0
+        strength = 1e6 if v <= 0 else min(max(m * (1 - m) / v - 1, 1.0), 1e6)
         out = out.withColumn(f"{r}_rate", (F.col(f"{r}_failed") + m * strength) / (F.col("n_docs") + strength))
         refused = refused | (F.col(f"{r}_rate") > most)
     return out.select("host", "n_docs", *[x for r in rates for x in (f"{r}_failed", f"{r}_rate")], refused.alias("host_refused"))
@@ -172,7 +172,7 @@ f AS (
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov ON w.r = cov.r LEFT JOIN dup ON w.r = dup.r),
 j AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, 10 * n_symbols > word_chars AS symbols_failed,
-  10 * n_dup_lines > 3 * greatest(n_words, 1) AS lines_failed FROM f),
+  50 * n_dup_lines > greatest(n_words, 1) AS lines_failed FROM f),
 h AS (SELECT source, count(*) AS n, unnest([1, 2, 3]) AS rule, unnest([sum(base_failed::INT), sum(symbols_failed::INT), sum(lines_failed::INT)]) AS failed
   FROM j WHERE source IS NOT NULL GROUP BY source),
 m AS (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v FROM h GROUP BY rule),

@@ -45,7 +45,7 @@ def verdicts(rows):
     for _, text, host in rows:
         n, chars, symbols, dup, repeated = by_hand(text)
         if host is not None:
-            hosts[host].append((n < 50 or 100 * repeated > 50 * n, 10 * symbols > chars, 10 * dup > 3 * max(n, 1)))
+            hosts[host].append((n < 50 or 100 * repeated > 50 * n, 10 * symbols > chars, 50 * dup > max(n, 1)))
     refused = set()
     for k in range(3):
         rates = [sum(x[k] for x in f) / len(f) for f in hosts.values()]
