@@ -393,9 +393,10 @@ def _redactor(weights: np.ndarray, column: str, count: str | None):
         for batch in batches:
             texts = [t if t is None else redact(t, spans_of(t, weights)[1]) for t in batch.column(column).to_pylist()]
             names = batch.schema.names
-            batch = batch.set_column(names.index(column), column, pa.array(texts, pa.string()))
+            batch = batch.set_column(names.index(column), column, pa.array(texts, batch.schema.field(column).type))
             if count:
-                batch = batch.set_column(names.index(count), count, pa.array([None if t is None else len(t) for t in texts], pa.int64()))
+                lengths = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(count).type)
+                batch = batch.set_column(names.index(count), count, lengths)
             yield batch
 
     return apply
