@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,21 @@ def substituted(text: Column, steps: Iterable[tuple[str, str]]) -> Column:
     return text
 
 
+def guarded(text: Column, needed: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """change(text) where ``needed`` holds, the text itself elsewhere. needed is a cheap test, true wherever change changes anything.
+
+    The text is bound to a variable first, so that it is computed once though it is mentioned three times."""
+    return F.get(F.transform(F.array(text), lambda t: F.when(needed(t), change(t)).otherwise(t)), F.lit(0))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: for dear work on a small input that is a few files.
+
+    An input with more partitions is left as it is; at scale nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def trimmed(text: Column) -> Column:
     """Without white space (of any kind) at the ends."""
     return F.regexp_replace(text, rf"^[{S}]+|[{S}]+$", "")

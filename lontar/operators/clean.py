@@ -10,30 +10,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import substituted, trimmed
+from ..functions.text import guarded, matches, substituted, trimmed
+
+
+def _any_word(words: list[str]) -> str:
+    """A pattern for any of the words, tried at places where one may begin."""
+    first = "".join(sorted({w[0] for w in words}))
+    return rf"(?i)\b(?=[{first}])(?:{'|'.join(words)})\b"
 
 
 def fix_mojibake(text: Column) -> Column:
-    for bad, good in vocab.MOJIBAKE:
-        text = F.replace(text, F.lit(bad), F.lit(good))
-    return text
+    """Every pair begins with one of five characters, so most texts need one look only."""
+
+    def replaced(t: Column) -> Column:
+        for bad, good in vocab.MOJIBAKE:
+            t = F.replace(t, F.lit(bad), F.lit(good))
+        return t
+
+    return guarded(text, lambda t: matches(t, r"[\x{e2}\x{c2}\x{c3}\x{00}\x{feff}]|&nbsp;"), replaced)
 
 
 def fix_dropcap_words(text: Column) -> Column:
-    return substituted(text, [(rf"(?i)\b{cut}\b", whole) for cut, whole in vocab.DROPCAP_WORDS])
+    steps = [(rf"(?i)\b{cut}\b", whole) for cut, whole in vocab.DROPCAP_WORDS]
+    return guarded(text, lambda t: matches(t, _any_word([cut for cut, _ in vocab.DROPCAP_WORDS])), lambda t: substituted(t, steps))
 
 
 def protect_titles(text: Column) -> Column:
     """One by one: in a chain such as ``Dr.H.`` removing the first dot hides the second title."""
-    return substituted(text, [(rf"\b{t}\.", t) for t in vocab.TITLES])
+    steps = [(rf"\b{t}\.", t) for t in vocab.TITLES]
+    return guarded(text, lambda t: matches(t, rf"\b(?:{'|'.join(vocab.TITLES)})\."), lambda t: substituted(t, steps))
 
 
 def strip_nav_keywords(text: Column) -> Column:
-    return substituted(text, [(rf"(?i)\b{k}\b", "") for k in vocab.NAV_KEYWORDS])
+    steps = [(rf"(?i)\b{k}\b", "") for k in vocab.NAV_KEYWORDS]
+    return guarded(text, lambda t: matches(t, _any_word(vocab.NAV_KEYWORDS)), lambda t: substituted(t, steps))
 
 
 def strip_bible_refs(text: Column) -> Column:
-    return substituted(text, [(vocab.BIBLE_REF, "")])
+    return guarded(text, lambda t: matches(t, vocab.D), lambda t: substituted(t, [(vocab.BIBLE_REF, "")]))
 
 
 def strip_quran_refs(text: Column, require_number: bool = False) -> Column:
@@ -42,7 +56,8 @@ def strip_quran_refs(text: Column, require_number: bool = False) -> Column:
 
 
 def strip_metadata(text: Column) -> Column:
-    return substituted(text, [(p, "") for p in vocab.METADATA_TAILS])
+    steps = [(p, "") for p in vocab.METADATA_TAILS]
+    return guarded(text, lambda t: matches(t, r"(?i)[|\x{a9}]|copyright|all rights|hak cipta"), lambda t: substituted(t, steps))
 
 
 def strip_arabic(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import barrier, trimmed
+from ..functions.text import barrier, spread, trimmed, words
 from ..operators.clean import clean_text, presplit_fix, split_sentences
 from ..operators.dedup import content_dedup
 from ..operators.frontier import min_content
@@ -24,7 +24,7 @@ def page_texts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def cleaned(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with the text cleaned, computed once for all that follows."""
-    return barrier(texts, **{text: clean_text(F.col(text))})
+    return barrier(spread(texts), **{text: clean_text(F.col(text))})
 
 
 def sentences(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -37,7 +37,8 @@ def sentences(texts: DataFrame, text: str = "text") -> DataFrame:
 def judged(rows: DataFrame) -> DataFrame:
     """rows with ``sentence`` (cleaned) and its ``reason``; each is computed once."""
     once = barrier(rows, sentence=clean_sentence(F.col("raw"))).drop("raw")
-    return barrier(once, reason=reason(F.col("sentence")))
+    split = barrier(once, _words=words(F.col("sentence")))
+    return barrier(split, reason=reason(F.col("sentence"), F.col("_words"))).drop("_words")
 
 
 def extract_sentences(texts: DataFrame, detected: Column, targets: tuple[str, ...] = vocab.TARGET_LANGUAGES, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import ml, vocab
 from ..functions import urls
 from ..functions.sql import register
-from ..functions.text import barrier, trimmed
+from ..functions.text import barrier, spread, trimmed
 from ..operators import clean, corpus, dedup, frontier, html, language, ratelimit, rules
 from ..operators import sentences as sentence_ops
 from ..sources import storage
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on at length."""
+    return spread(table(spark, sf_dir, name))
+
+
 def query(sql: str | None = None, name: str | None = None):
     def add(f):
         key = name or f.__name__
@@ -58,12 +63,12 @@ def url_same_domain(spark, sf_dir):
 
 @query(oracle.links())
 def extract_links(spark, sf_dir):
-    return frontier.extract_links(table(spark, sf_dir, "pages"))
+    return frontier.extract_links(texts(spark, sf_dir, "pages"))
 
 
 def _with_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return storage.pages_as_tasks(pages), frontier.extract_links(pages)
+    return storage.pages_as_tasks(pages), frontier.extract_links(spread(pages))
 
 
 #: Pages with an even number are taken as visited, those under 100 as the first tasks.
@@ -194,7 +199,7 @@ def dropcap_html(spark, sf_dir):
 
 @query(f"SELECT page_id, {oracle.fallback_text('html')} AS text FROM pages")
 def fallback_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.fallback_text(F.col("html")).alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", html.fallback_text(F.col("html")).alias("text"))
 
 
 # ---- whole texts -----------------------------------------------------------------------------------------------------
@@ -202,7 +207,7 @@ def fallback_text(spark, sf_dir):
 for _step in clean.STEPS:
 
     def _clean(spark, sf_dir, step=_step):
-        return table(spark, sf_dir, "documents").select("doc_id", step(F.col("text")).alias("text"))
+        return texts(spark, sf_dir, "documents").select("doc_id", step(F.col("text")).alias("text"))
 
     query(f"SELECT doc_id, {oracle.CLEAN[_step.__name__]('text')} AS text FROM documents", _step.__name__)(_clean)
 
@@ -216,7 +221,7 @@ PIPELINE_SQL = f"WITH {_CLEANED},\n{_RAW},\n{_SENTENCES},\n{_JUDGED}"
 
 @query(f"WITH {_CLEANED} SELECT doc_id, text FROM {_LAST}")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_text(F.col("text")).alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", clean.clean_text(F.col("text")).alias("text"))
 
 
 @query(f"SELECT doc_id, {oracle.presplit('text')} AS text FROM documents")
@@ -234,7 +239,7 @@ _PLAIN = f"plain AS (SELECT doc_id, position, {oracle.trimmed('s')} AS s FROM (S
 
 
 def _plain(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(clean.split_sentences(F.col("text"))).alias("position", "s"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(clean.split_sentences(F.col("text"))).alias("position", "s"))
     return barrier(rows, s=trimmed(F.col("s")))
 
 
