@@ -35,6 +35,8 @@ from .shared import read_table, small_batches
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of one recursive query, by bytes; the length from which a piece counts as long; what a worker remembers.
 QUERY_BYTES, LONG, REMEMBERED = 1_200_000, 200, 2_000_000
+#: Bytes of text that are worked on together.
+NUMBERED = 16 << 20
 
 #: Rows are linked by nxt. A round finds each piece's leftmost pair of least rank and contracts it.
 _SHORT = """
@@ -76,6 +78,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe(Encoder):
     """rows(texts): (number of ids, the ids as decimal text, the bytes they decode to) of each text."""
 
+    numbered = NUMBERED
+
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -83,7 +87,7 @@ class Bpe(Encoder):
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.cuts = pattern == public_tokenizers.PATTERN
         gc.set_threshold(200_000, 50, 100)  # the caches hold no cycles; walking through them often costs much
-        self.known, self.pieces, self.remembered = {}, {}, 600_000
+        self.known, self.old, self.pieces, self.remembered = {}, {}, {}, 500_000
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         pair, made = [], []
         for token, rank in self.ranks.items():
@@ -157,12 +161,25 @@ class Bpe(Encoder):
             offsets, number, parts = self._cut(some)
             count, ids, decoded = zip(*parts, strict=True)
             counts = np.add.reduceat(np.array(count, np.int64)[number], offsets[:-1]).tolist()
-            at, number = offsets.tolist(), number.tolist()
+            at = offsets.tolist()
             for n, a, b in zip(counts, at[:-1], at[1:], strict=True):
-                own = number[a:b]
+                own = number[a:b].tolist()
                 yield n, b" ".join(map(ids.__getitem__, own)), b"".join(map(decoded.__getitem__, own))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many bytes (but the last): a recursive query has a cost of its own for each round."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if total:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 _made: dict[tuple, Bpe] = {}
 
 
@@ -171,7 +188,7 @@ def _runner(path: str, pattern: str):
         if (path, pattern) not in _made:
             _made[path, pattern] = Bpe(path, pattern)
         bpe = _made[path, pattern]
-        for batch in batches:
+        for batch in gathered(batches, NUMBERED):
             n, ids, decoded = [], [], []
             for count, text_ids, text in bpe.rows(batch.column("text")):
                 n.append(count)

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers (about 200 bytes each) before it starts anew.
-REMEMBERED = 1_000_000
+#: Words a worker remembers (about 300 bytes each) in each of two generations: those not met in the last one are forgotten.
+REMEMBERED = 350_000
 #: Bytes of text whose words are numbered together.
 NUMBERED = 8 << 20
 #: In a cut text, the mark of a word that no space precedes.
@@ -30,6 +30,8 @@ _WHOLE = (
 class Encoder:
     """Ids of texts, without begin, end or added special tokens."""
 
+    numbered = NUMBERED
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.cuts = False
@@ -54,7 +56,7 @@ class Encoder:
                 moved = [b for b in range(256) if b not in kept]
                 self.letters = {b: 256 + i for i, b in enumerate(moved)}
                 self.space = chr(self.letters[32])
-        self.known, self.remembered = {}, REMEMBERED
+        self.known, self.old, self.remembered = {}, {}, REMEMBERED
 
     def learn(self, words: list[str]) -> None:
         """Encode new words: Latin letters, perhaps with a point or comma, by the library's model alone, as they are one
@@ -84,11 +86,17 @@ class Encoder:
         lists = pc.split_pattern(marked, " ")
         numbered = lists.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(words) > self.remembered:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for w in [w for w in words if w not in known]:
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
         if new:
-            if len(self.known) + len(new) > self.remembered:
-                self.known.clear()
-                new = words
             self.learn(new)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return offsets, numbered.indices.to_numpy(), list(map(self.known.__getitem__, words))
@@ -97,7 +105,7 @@ class Encoder:
         """Runs of texts that are cut together: (first, last + 1, texts or None if to be taken whole)."""
         texts = texts.cast(pa.large_string())
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy()) // NUMBERED
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy()) // self.numbered
         cuts = np.flatnonzero((whole[1:] != whole[:-1]) | (sizes[1:] != sizes[:-1])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
             if a < b:
