@@ -69,7 +69,8 @@ atexit.register(discard)
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The frame, written to a table of its own in the shared folder and read again: this cuts its lineage."""
     path = workspace(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    # Small row groups: a writer holds one in memory.
+    df.write.option("compression", codec).option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
