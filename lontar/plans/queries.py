@@ -99,7 +99,18 @@ def boundary_capture(spark, sf_dir):
 def crawl_levels(spark, sf_dir):
     storage.work_folder(spark, "levels")
     pages = table(spark, sf_dir, "pages")
-    return frontier.crawl(pages.filter("page_id % 10 = 0").select("url"), frontier.extract_links(pages), 3)
+    return frontier.crawl(pages.filter("page_id % 10 = 0").select("url"), frontier.extract_links(pages))
+
+
+@query(
+    f"WITH RECURSIVE links AS ({oracle.links()}), reach(url, depth) AS (SELECT url, 0 FROM pages UNION SELECT l.link, r.depth + 1 FROM reach r JOIN links l ON r.url = l.url WHERE r.depth < {vocab.MAX_DEPTH}) "
+    "SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url"
+)
+def crawl_levels_all(spark, sf_dir):
+    """From every page; crawl_levels starts from the tenth of them that its SQL names."""
+    storage.work_folder(spark, "levels")
+    pages = table(spark, sf_dir, "pages")
+    return frontier.crawl(pages.select("url"), frontier.extract_links(pages))
 
 
 @query(
