@@ -3,14 +3,17 @@
 A word's probability is that of its class, given the words before it, times its own within the class. Classes are the end
 of a text, the TOP most frequent words, each for itself, and SUFFIXES groups of the other words by their last two bytes.
 The softmax over classes has hashed features of the previous word (bigram), the one before that (skip) and both
-(trigram); within a class the model has one feature per word, whose maximum-entropy fit is its smoothed relative
-frequency. Training is by gradient: in each of ROUNDS rounds every task sums the gradient of its texts (a share of all
+(trigram). Within a class the model is log-linear too: a family of features, one for each counted pair of a history and a
+word, tilts a reference distribution, and a family's weights are the closed-form fit under a conjugate prior of
+HISTORY_PRIOR counts of its reference. The bigram and skip families tilt the smoothed relative frequency of the words;
+the trigram family tilts the mean of the two. The class softmax alone is trained by gradient. Its training is by gradient: in each of ROUNDS rounds every task sums the gradient of its texts (a share of all
 training texts, each text in one round), the sums meet slab by slab, and the driver, which holds nothing but the model,
-takes a step scaled by each weight's curvature.
+takes a step scaled by each weight's curvature; its tables have a constant size.
 
 Counts of words are exact and cover all training texts. Texts are stored in the shared folder in blocks, without a
 shuffle; a block sends its distinct words (as 64-bit keys) with their counts to the keys' groups once, and is answered
 with the counts of all texts, so a frequent word is as many rows as there are blocks, and no vocabulary is broadcast.
+Histories with words are counted in the same way, for each part (PART_ROWS rows) of a block, so that a task holds one part's.
 
 Null texts are empty: one token, their end. Rows without a doc_id are for training (their crc32 is that of the empty
 text). Repeated rows count and are scored each for itself. An empty table gives an empty result; other columns play no
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ CLASSES = 1 + TOP + SUFFIXES
 #: Hash bits of the bigram, skip and trigram features.
 BITS = (13, 13, 14)
 ROUNDS, STEP, PRIOR = 4, 0.7, 8.0
+#: Counts that a reference distribution weighs within a class; bytes of text behind a group of histories; rows of a part.
+HISTORY_PRIOR, HISTORY_BYTES, PART_ROWS = 8.0, 2 << 20, 2000
 #: Bytes of text behind a group of word keys; groups of a task; rows of weights in a slab; tokens in a batch of softmax rows.
 GROUP_BYTES, TASK_GROUPS, SLAB, ROWS = 6 << 20, 8, 2048, 1 << 14
 END, START = np.uint64(0), np.uint64(16)
@@ -85,6 +91,13 @@ def features(keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [((h ^ (h >> np.uint64(31))) * _SPACE_STEP >> np.uint64(64 - b)).astype(np.int32) + int(o) for h, b, o in zip(hashes, BITS, _OFFSETS, strict=False)]
 
 
+def _joint(history: np.ndarray, outcome: np.ndarray, family: int) -> np.ndarray:
+    x = (history + np.uint64((family + 1) * int(_SPACE_STEP) % (1 << 64))) ^ (outcome * _MIX[1])
+    for m in (_MIX[0], _MIX[2]):
+        x = (x ^ (x >> np.uint64(31))) * m
+    return x ^ (x >> np.uint64(32))
+
+
 class Model:
     def __init__(self, top: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray):
         """top: keys of the most frequent words; tokens and distinct words of each class in the training texts."""
@@ -110,6 +123,26 @@ class Model:
         rest = (counts + 1.0) / (self.class_tokens[classes] + self.class_words[classes] + 1.0)
         return np.where(single, 0.0, np.log10(rest))
 
+    def histories(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Which tokens share their class with other words; for each family their keys of history and word, and of history and class."""
+        classes = self.classes(keys)
+        at = np.flatnonzero(classes > TOP)
+        one, two = (x[at] for x in _before(keys, n))
+        past = (one * _MIX[0], two * _MIX[1], (one * _MIX[2]) ^ (two * _MIX[3]))
+        words, own = keys[at], classes[at].astype(np.uint64)
+        return at, [_joint(h, words, i) for i, h in enumerate(past)], [_joint(h, own, i + len(past)) for i, h in enumerate(past)]
+
+    def tilted(self, share: np.ndarray, keys: np.ndarray, n: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """log10 of each word's share of its class after its history, from that without; totals: counts of the known (sorted) keys."""
+        at, words, wholes = self.histories(keys, n)
+        if not len(at):
+            return share
+        plain = 10.0 ** share[at]
+        fit = lambda i, reference: (totals[np.searchsorted(known, words[i])] + HISTORY_PRIOR * reference) / (totals[np.searchsorted(known, wholes[i])] + HISTORY_PRIOR)
+        out = share.copy()
+        out[at] = np.log10(fit(2, (fit(0, plain) + fit(1, plain)) / 2))
+        return out
+
     def softmax(self, rows: list[np.ndarray]) -> np.ndarray:
         logits = self.weights[rows[0]]
         for r in rows[1:]:
@@ -138,10 +171,12 @@ class Model:
         """Each weight by its gradient over its curvature and a prior; the features of a token share the step."""
         self.weights += (STEP / len(BITS) * 2 * total / (seen[:, None] * self.curvature + PRIOR)).astype(np.float32)
 
-    def log10(self, keys: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
+    def log10(self, keys: np.ndarray, n: np.ndarray, counts: np.ndarray, told: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """log10 probability of each token; told: the keys of its histories with their counts (without, words don't depend on them)."""
         rows, y = features(keys, n), self.classes(keys)
         out = self.within(keys, y, counts)
+        if told is not None:
+            out = self.tilted(out, keys, n, *told)
         for a in range(0, len(keys), ROWS):
             p = self.softmax([r[a : a + ROWS] for r in rows])
             own = p[np.arange(len(p)), y[a : a + ROWS]]
@@ -232,6 +267,70 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answers(rows)
 
 
+def _history_sender(groups: int, sent):
+    """As _sender, of the histories of each part of a block."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(where: tuple[int, int], held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, counts = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            group = _group_of(keys, groups)
+            order = np.argsort(group, kind="stable")
+            keys, counts, group = keys[order], counts[order], group[order]
+            which, starts = np.unique(group, return_index=True)
+            cuts = [*starts.tolist(), len(keys)]
+            raw = [(packed(keys[a:b]), _planes(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            places = [pa.array([x] * len(raw), pa.int32()) for x in where]
+            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *places, pa.array([x for x, _ in raw], pa.binary()), pa.array([x for _, x in raw], pa.binary())], ["grp", "block", "part", "words", "counts"])
+
+        now, parts = None, []
+        for batch in batches:
+            held = batch.column("held").to_numpy(zero_copy_only=False)
+            for where, a, b in _runs(batch):
+                if now is not None and where != now:
+                    yield told(now, parts)
+                    parts = []
+                now = where
+                keys, n = word_keys(batch.column("text").slice(a, b - a).to_pylist())
+                at, words, wholes = sent.value.histories(keys, n)
+                trained = np.repeat((~held[a:b]).astype(np.int64), n)[at]
+                parts.append(_counted(np.concatenate([*words, *wholes]), np.tile(trained, len(words) + len(wholes))))
+        if now is not None:
+            yield told(now, parts)
+
+    return send
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """Block and part, first and next row of each run of rows."""
+    block, part = batch.column("block").to_numpy(), batch.column("part").to_numpy()
+    if len(block):
+        edges = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(block)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield (int(block[a]), int(part[a])), a, b
+
+
+def _history_adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group. Answers each part with all texts' counts."""
+
+    def answers(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = [unpacked(r[2]) for r in rows]
+        keys, counts = _counted(np.concatenate(parts), np.concatenate([_unplaned(r[3]) for r in rows]))
+        for (block, part, words, _), own in zip(rows, parts, strict=True):
+            columns = [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([words], pa.binary()), pa.array([_planes(counts[np.searchsorted(keys, own)])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "part", "words", "counts"])
+
+    group, rows = None, []
+    for batch in batches:
+        for own, *row in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "part", "words", "counts")), strict=True):
+            if own != group and rows:
+                yield from answers(rows)
+                rows = []
+            group = own
+            rows.append(tuple(row))
+    if rows:
+        yield from answers(rows)
+
+
 def _trainer(sent):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -258,38 +357,42 @@ def _slab_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scorer(sent, tokens: int, words: int):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def scored(batch: pa.RecordBatch, keys_known: np.ndarray, counts_known: np.ndarray) -> pa.RecordBatch:
+    def merged(answers: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        if not answers:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys = np.concatenate([unpacked(w) for w, _ in answers])
+        order = np.argsort(keys)
+        return keys[order], np.concatenate([_unplaned(c) for _, c in answers])[order]
+
+    def scored(batch: pa.RecordBatch, keys_known: np.ndarray, counts_known: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         keys, n = word_keys(batch.column("text").to_pylist())
         counts = counts_known[np.searchsorted(keys_known, keys)]
         start = np.cumsum(n) - n
         summed = lambda x: np.add.reduceat(x, start)  # noqa: E731  every text has a token
         base = summed(np.log10((counts + 1.0) / (tokens + words + 1.0)))
-        score = summed(sent.value.log10(keys, n, counts))
+        score = summed(sent.value.log10(keys, n, counts, told))
         columns = [batch.column("id"), batch.column("held"), pa.array(n), pa.array(summed((counts > 0).astype(np.int64))), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    def finish(path: str, answers: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([unpacked(w) for w, _ in answers])
-        order = np.argsort(keys)
-        keys, counts = keys[order], np.concatenate([_unplaned(c) for _, c in answers])[order]
+    def finish(path: str, rows: Iterator[tuple[int | None, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        """rows: a block's answers, those of words (which have no part) first, then those of histories by part."""
+        by_part = ((part, merged([(w, c) for _, w, c in some])) for part, some in groupby(rows, lambda r: r[0]))
+        part, known = next(by_part)
+        part, told = next(by_part, (None, None))
         system, name = fs.FileSystem.from_uri(path)
         with system.open_input_file(name) as file:
-            for batch in pq.ParquetFile(file).iter_batches(200, columns=["id", "held", "text"]):
-                yield scored(batch, keys, counts)
+            for batch in pq.ParquetFile(file).iter_batches(200, columns=["id", "held", "text", "block", "part"]):
+                for (_, own), a, b in _runs(batch):
+                    while part is not None and part < own:
+                        part, told = next(by_part, (None, None))
+                    yield scored(batch.slice(a, b - a), *known, told if part == own else merged([]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block: one names its file, the others hold its words' counts."""
-        block, path, answers = None, None, []
-        for batch in batches:
-            for own, file, words_, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "path", "words", "counts")), strict=True):
-                if own != block and path is not None:
-                    yield from finish(path, answers)
-                    path, answers = None, []
-                block, path = own, file or path
-                if words_ is not None:
-                    answers.append((words_, counts))
-        if path is not None:
-            yield from finish(path, answers)
+        """Rows come sorted by block: one names its file, the others hold the counts of its words, then of its histories."""
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("block", "path", "part", "words", "counts")), strict=True))
+        for _, some in groupby(rows, lambda r: r[0]):
+            path = next(some)[1]
+            yield from finish(path, ((part, w, c) for _, _, part, w, c in some))
 
     return run
 
@@ -304,7 +407,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     number = F.col(id_col).cast("long")
     held = F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
-    rows = docs.select(number.alias("id"), held.alias("held"), text_bytes(text_col).alias("text"), F.spark_partition_id().alias("block"))
+    rows = docs.select(number.alias("id"), held.alias("held"), text_bytes(text_col).alias("text"), F.spark_partition_id().alias("block"), F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / PART_ROWS).cast("int").alias("part"))
     blocks = stored(rows, "lm-blocks")
     size = blocks.agg(F.sum(F.length("text")).alias("n"), F.countDistinct("block").alias("blocks")).first()
     groups, n_blocks = max(1, -(-(size.n or 0) // group_bytes)), max(1, size.blocks)
@@ -317,6 +420,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for r in whole.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
         sums[r.at] = r.n
     model, tokens, words = _model([(r.often_counts, r.often % (1 << 64)) for r in top if r.often_counts > 0], blocks.filter(~F.col("held")).count(), sums)
+    history_groups = max(1, -(-(size.n or 0) * GROUP_BYTES // (group_bytes * HISTORY_BYTES)))
+    untrained = spark.sparkContext.broadcast(model)
+    asked = blocks.select("block", "part", "held", "text").mapInArrow(_history_sender(history_groups, untrained), "grp long, block int, part int, words binary, counts binary")
+    histories = stored(asked.repartition(-(-history_groups // TASK_GROUPS), "grp").sortWithinPartitions("grp").mapInArrow(_history_adder, "block int, part int, words binary, counts binary"), "lm-histories")
     for turn in range(rounds if tokens else 0):
         share = blocks.filter(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn)).select("text")
         broadcast = spark.sparkContext.broadcast(model)
@@ -331,8 +438,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     broadcast = spark.sparkContext.broadcast(model)
     nothing = F.lit(None).cast("binary")
     files = blocks.select("block", F.col("_metadata.file_path").alias("path")).distinct()
-    told = files.select("block", "path", nothing.alias("words"), nothing.alias("counts")).unionByName(added.filter("block IS NOT NULL").select("block", F.lit(None).cast("string").alias("path"), "words", "counts"))
-    per_block = told.repartition(n_blocks, "block").sortWithinPartitions("block", F.col("path").isNull())
+    no_path, no_part = F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("part")
+    told = files.select("block", "path", no_part, nothing.alias("words"), nothing.alias("counts")).unionByName(added.filter("block IS NOT NULL").select("block", no_path, no_part, "words", "counts")).unionByName(histories.select("block", no_path, "part", "words", "counts"))
+    per_block = told.repartition(n_blocks, "block").sortWithinPartitions("block", F.col("path").isNull(), F.col("part").asc_nulls_first())
     return per_block.mapInArrow(_scorer(broadcast, tokens, words), SCHEMA)
 
 

@@ -1,0 +1,71 @@
+"""Words within a class after their histories."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lontar.llm import maxent
+
+TEXTS = ["alpha one alpha one alpha one beta two beta two", "beta two alpha one gamma", "gamma two two one", ""] * 8
+
+
+@pytest.fixture
+def no_top(monkeypatch):
+    """No word is a class for itself."""
+    monkeypatch.setattr(maxent.Model, "classes", lambda self, keys: np.where(keys == maxent.END, 0, 1 + maxent.TOP + (keys & np.uint64(15)).astype(np.int64)))
+
+
+def told(model, texts):
+    keys, n = maxent.word_keys([t.encode() for t in texts])
+    _, words, wholes = model.histories(keys, n)
+    every = np.concatenate([*words, *wholes])
+    return maxent._counted(every, np.ones(len(every), np.int64))
+
+
+def model_of(texts):
+    keys, _ = maxent.word_keys([t.encode() for t in texts])
+    known, counts = maxent._counted(keys, np.ones(len(keys), np.int64))
+    suffix = (known & np.uint64(15)).astype(int)
+    sums = [np.bincount(suffix, counts, 16), np.bincount(suffix, minlength=16)]
+    model, _, _ = maxent._model([], len(texts), np.concatenate(sums).astype(int))
+    return model, dict(zip(known.tolist(), counts.tolist(), strict=True))
+
+
+def test_shares_of_a_class_add_up(no_top):
+    model, counts = model_of(TEXTS)
+    known, totals = told(model, TEXTS)
+    words = sorted({w for t in TEXTS for w in t.split()})
+    ask = [f"alpha one {w}".encode() for w in [*words, "never"]]
+    keys, n = maxent.word_keys(ask)
+    _, pairs, wholes = model.histories(keys, n)
+    extra = np.setdiff1d(np.concatenate([*pairs, *wholes]), known)
+    order = np.argsort(np.concatenate([known, extra]))
+    all_keys, all_totals = np.concatenate([known, extra])[order], np.concatenate([totals, np.zeros(len(extra), np.int64)])[order]
+    plain = model.within(keys, model.classes(keys), np.array([counts.get(k, 0) for k in keys.tolist()]))
+    share = 10 ** model.tilted(plain, keys, n, all_keys, all_totals)
+    third, by_class = np.cumsum(n) - 2, Counter()
+    for i, w in zip(third[:-1], words, strict=True):
+        by_class[int(model.classes(keys)[i])] += share[i]
+    for c, total in by_class.items():  # what is left is the share of all words that were not seen
+        assert 0 < total < 1
+        rest = 1 / (model.class_tokens[c] + model.class_words[c] + 1)
+        factor = lambda i, j: maxent.HISTORY_PRIOR / (all_totals[np.searchsorted(all_keys, wholes[i][j])] + maxent.HISTORY_PRIOR)
+        at = model.histories(keys, n)[0]
+        j = next(int(np.flatnonzero(at == i)[0]) for i in third[:-1] if int(model.classes(keys)[i]) == c)
+        assert total + rest * factor(2, j) * (factor(0, j) + factor(1, j)) / 2 == pytest.approx(1, rel=1e-9)
+
+
+def test_a_word_depends_on_its_history(spark, monkeypatch):
+    """Rare words of one suffix, each after a word of its own: the order decides the score."""
+    names = [f"x{i}ab" for i in range(60)]
+    text = lambda shift: " ".join(f"p{i}zz {names[(i + shift) % 60]}" for i in range(60))
+    rows = [(d, text(0)) for d in range(40)] + [(1000 + d, text(7)) for d in range(40)]
+    rows = [r for r in rows if maxent.is_held_out(r[0]) or r[0] < 1000]
+    monkeypatch.setattr(maxent, "PART_ROWS", 3)
+    out = maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group_bytes=5_000).collect()
+    assert len(out) == len(rows)
+    held = [r for r in out if r.held_out]
+    usual, moved = ([r.score for r in held if (r.doc_id < 1000) == x] for x in (True, False))
+    assert usual and moved and min(usual) > max(moved) + 60 * math.log10(2)
