@@ -147,6 +147,13 @@ def domain_cap(spark, sf_dir):
     return frontier.domain_cap(pages, "page_id", 3).select("page_id")
 
 
+@query(f"SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY {oracle.url_domain('url')} ORDER BY page_id) AS n FROM pages) WHERE n <= {vocab.DOMAIN_CAP}")
+def domain_cap_whole(spark, sf_dir):
+    """With the reference's cap; domain_cap has the small one that its SQL names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
+    return frontier.domain_cap(pages, "page_id").select("page_id")
+
+
 @query(f"SELECT page_id, row_number() OVER (PARTITION BY {oracle.url_domain('url')} ORDER BY page_id)::INT AS turn FROM pages")
 def domain_round_robin(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
@@ -411,8 +418,8 @@ def scan_corpus_csv(spark, sf_dir):
 @query()
 def scan_combined_latest(spark, sf_dir):
     folder, rows = storage.work_folder(spark, "combined"), corpus.map_output(_records(spark, sf_dir))
-    for stamp in ("20240101_000000", "20240203_120000"):
-        storage.write_corpus(rows.filter(F.col("Label") == ("En" if stamp > "20240201" else "Fr")), f"{folder}/corpus_{stamp}.csv")
+    for stamp, kept in (("20240101_000000", rows.withColumn("Link", F.lit("old"))), ("20240203_120000", rows)):
+        storage.write_corpus(kept, f"{folder}/corpus_{stamp}.csv")
     return storage.read_corpus(spark, storage.latest_file(spark, f"{folder}/corpus_*.csv"))
 
 
@@ -571,6 +578,12 @@ def balance_capped(spark, sf_dir):
     return corpus.balance(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", cap=25)
 
 
+@query(f"WITH {_RANKED} SELECT doc_id, lang FROM ranked WHERE n <= least((SELECT min(every) FROM ranked), {2_000_000 // 3})")
+def balance_capped_whole(spark, sf_dir):
+    """With the reference's cap; balance_capped has the small one that its SQL names."""
+    return corpus.balance(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", cap=2_000_000 // 3)
+
+
 @query(f"WITH {_RANKED} SELECT doc_id, lang, CASE WHEN n <= floor(every * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS split FROM ranked")
 def stratified_split(spark, sf_dir):
     return corpus.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
