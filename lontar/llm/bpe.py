@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import FIRST, Encoder
-from .shared import read_table, small_batches
+from .shared import read_table, small
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of one recursive query, by bytes; the length from which a piece counts as long; what a worker remembers.
@@ -188,7 +188,7 @@ def _runner(path: str, pattern: str):
         if (path, pattern) not in _made:
             _made[path, pattern] = Bpe(path, pattern)
         bpe = _made[path, pattern]
-        for batch in gathered(batches, NUMBERED):
+        for batch in gathered(small(batches), NUMBERED):
             n, ids, decoded = [], [], []
             for count, text_ids, text in bpe.rows(batch.column("text")):
                 n.append(count)
@@ -201,7 +201,6 @@ def _runner(path: str, pattern: str):
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCHEMA: number and digest of each text's ids, and digest of what they decode to. ranks: a rank file."""
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return narrow.mapInArrow(_runner(ranks, pattern), SCHEMA)
 

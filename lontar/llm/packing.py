@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import encoder
-from .shared import read_table, small_batches
+from .shared import read_table, small
 
 CAPACITY = 2048
 MIN_PIECE = 64
@@ -102,7 +102,7 @@ def _packed(path: str, capacity: int, least: int):
             packer.rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), ids(batch.column("text")), strict=True):
                 packer.add(doc_id, own + end)
             yield out()
@@ -116,7 +116,6 @@ def harmonic_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     """The pieces of all documents, with their sequences. capacity and least must be powers of two."""
     if capacity & (capacity - 1) or least & (least - 1) or not 0 < least <= capacity:
         raise ValueError("capacity and least must be powers of two")
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return narrow.mapInArrow(_packed(tokenizer, capacity, least), SCHEMA)
 

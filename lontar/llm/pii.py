@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table, small_batches
+from .shared import read_table, small
 
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE_KINDS = KINDS[:4]
@@ -351,7 +351,7 @@ def _finder(weights: np.ndarray):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 base, every = spans_of(text, weights)
@@ -368,7 +368,6 @@ def _finder(weights: np.ndarray):
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCHEMA: counts of the rules' spans, their digest, and all spans as kind:start:end."""
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return narrow.mapInArrow(_finder(trained()), SCHEMA)
 
@@ -390,7 +389,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _redactor(weights: np.ndarray, column: str, count: str | None):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t if t is None else redact(t, spans_of(t, weights)[1]) for t in batch.column(column).to_pylist()]
             names = batch.schema.names
             batch = batch.set_column(names.index(column), column, pa.array(texts, batch.schema.field(column).type))
@@ -404,7 +403,6 @@ def _redactor(weights: np.ndarray, column: str, count: str | None):
 
 def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with the spans of text_col replaced, all other columns kept; count_col, if named, gets the new length."""
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(_redactor(trained(), text_col, count_col), docs.schema)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lookup, read_table, small_batches, stored, text_bytes
+from .shared import lookup, read_table, small, stored, text_bytes
 
 MIN_WORDS = 50
 #: A host is refused if its shrunk rate of failures under a rule is above this.
@@ -64,7 +64,7 @@ def measure(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = [measure(t) for t in batch.column("text").to_pylist()]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], ["doc_id", "host", *FEATURES])
@@ -85,7 +85,6 @@ def _rules() -> dict:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One narrow row per document: its id, host and features."""
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_bytes(text_col).alias("text"))
     return narrow.mapInArrow(_measured, "doc_id long, host string, " + ", ".join(f"{c} long" for c in FEATURES))
 
@@ -134,7 +133,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column("_text_bytes").to_pylist()
         keep = []
         for t in texts:

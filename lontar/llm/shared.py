@@ -1,7 +1,7 @@
 """Where operators keep what several executors must see, and small helpers they share.
 
 Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``. Only where that is
-unset (tests, a laptop) is a folder of this machine used. Python workers open files there with ``pyarrow.fs``,
+unset and the master is local (tests, a laptop) is a folder of this machine used; on a cluster that raises. Python workers open files there with ``pyarrow.fs``,
 so the folder's scheme must be one it knows (file, hdfs, s3, gs, abfs).
 """
 
@@ -11,16 +11,18 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters, as in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows an Arrow batch holds; with texts of some KB that is some MB.
-BATCH_ROWS = 1000
+#: Bytes and rows of a batch that is worked on at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -29,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder for intermediate data, below ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         path = (Path(tempfile.gettempdir()) / "checkpoints").as_uri()
     elif not urlparse(path).scheme:
         jvm = spark.sparkContext._jvm
@@ -66,18 +70,23 @@ def discard(paths: list[str] | None = None) -> None:
 atexit.register(discard)
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The frame, written to a table of its own in the shared folder and read again: this cuts its lineage."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """The frame, written to a table of its own in the shared folder and read again: this cuts its lineage. by: a column of
+    few values, by which the table is laid out."""
     path = workspace(df.sparkSession, name)
     # Small row groups: a writer holds one in memory.
-    df.write.option("compression", codec).option("parquet.block.size", 16 << 20).parquet(path)
+    writer = df.write.option("compression", codec).option("parquet.block.size", 16 << 20)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers get, as texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of about size bytes and at most so many rows (a longer row is a piece of its own). What Spark sends
+    at once it bounds itself, by spark.sql.execution.arrow.maxBytesPerBatch; Python objects made of it are larger."""
+    for batch in batches:
+        n = min(rows, max(1, int(len(batch) * size / max(1, batch.nbytes))))
+        for a in range(0, len(batch), n):
+            yield batch.slice(a, n)
 
 
 def text_bytes(column: str) -> Column:

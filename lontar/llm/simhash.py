@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import read_table, small_batches, stored, text_bytes
+from .shared import read_table, small, stored, text_bytes
 
 SEED = 42
 SHINGLE = 3
@@ -52,14 +52,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         f = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(f.view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -241,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         f = np.array([fingerprint(t) for t in batch.column("_bytes").to_pylist()], np.uint64)
         yield batch.drop_columns(["_bytes"]).append_column("_fp", pa.array(f.view(np.int64)))
 
@@ -249,7 +248,6 @@ def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (of several such rows, one with the
     smallest fingerprint; of a component without any doc_id, one row)."""
-    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
     marked = stored(docs.withColumn("_bytes", text_bytes(text_col)).mapInArrow(_with_fingerprint, schema), "documents")
     found = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp"))

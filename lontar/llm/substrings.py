@@ -1,17 +1,19 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-Every word position starts a suffix. Suffixes are split by their first words into groups that fit a task's memory: one
-word where that is enough, more where many suffixes share it (frequent prefixes are counted over all texts, and only
-those above a group's size are made longer). A group's subtree is what its sorted suffixes form; as only repeats of
-WINDOW words count, a subtree is cut at that depth, where a node is the set of suffixes that share WINDOW words: the
-deep internal nodes, whose leaves lie in several documents, are the repeats, and runs of them in a document its maximal
-repeated passages. An edge is stored as a 64-bit fingerprint of its words, never as the words: suffixes spelled out would
-be WINDOW times the input. (Of n different windows some n^2 / 2^65 pairs may be taken as equal by chance.)
-
-The texts are dealt once, by ranges of doc_id, into blocks of bounded size that are stored in the shared folder. A
-block sends each of its distinct windows once to its group, so a passage that a third of all documents share is as many
-rows as there are blocks. As blocks are ranges, a window has a smaller document outside a block exactly if a lower block
-has it: the groups answer each block with the windows of which this holds; what lies within a block it settles itself.
+Every place where WINDOW words follow starts a suffix. Only suffixes that share their first WINDOW words with another one
+can lie below a deep internal node, so fingerprints come first: a block of texts sends each of its distinct windows once,
+as a fingerprint cut to the bits that the size of the corpus needs, to the task of its range of fingerprints, and is told
+which of them some other block has too (all true ones, and a few others: a thousandth or so).
+
+The suffixes that are left are split by their first words into groups that fit a task's memory. A prefix ends with the
+first word that isn't common (in corpora of very many groups, with the second such word and so on), at WINDOW words at
+the latest; a group that is still too large is split by whole windows. A suffix is sent with its words. In a group the
+suffixes of all blocks are sorted by their words, and the words that neighbours share from the start (LCP) give the tree:
+an internal node of depth WINDOW or more is a run of neighbours that share as many. As only repeats of WINDOW words
+count, trees are cut at that depth. Of each node, the blocks are told the smallest doc_id. Within a block the same tree
+is built over the block's own suffixes, so a block sends one suffix for each of its nodes. No fingerprint decides that
+words are equal. The removed words of a document are the union of the repeats that it has from a smaller doc_id; runs of
+them are its maximal repeated passages.
 
 Null texts and texts without words have nothing to remove; rows with one doc_id don't repeat each other; rows without a
 doc_id take no part and are returned whole; an empty table gives an empty result; other columns play no part, whatever
@@ -26,23 +28,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import pyarrow.compute as pc
 import xxhash
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import read_table, small_batches, stored
+from .blocks import BLOCK_BYTES, Files, block_rows, files_of, in_blocks, met
+from .shared import read_table, small, stored
 
 WINDOW = 13
-#: Bytes of text in a block, and behind a group of suffixes; groups of a task, as hashing deals few large ones unevenly.
-BLOCK_BYTES, GROUP_BYTES, TASK_GROUPS = 16 << 20, 3 << 19, 8
-#: Frequent prefixes sent to the tasks at most (8 bytes each); if there were more, groups would be larger.
-FREQUENT = 1_000_000
-_BINS = 20  # bits by which prefixes are counted
+#: Bytes of text behind a range of fingerprints; suffixes of a group, and of a part of a block that is sorted at once.
+RANGE_BYTES, GROUP_SUFFIXES, SORTED_AT_ONCE = 16 << 20, 1 << 20, 1 << 19
+#: Bits of a fingerprint beyond those that number the windows: one in 2^SPARE is told to be repeated by chance, at most.
+SPARE = 10
+#: A word is common if it is one of so many words of a block or more; a block names at most as many.
+COMMON_SHARE = 4096
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string"
+_MESSAGE = "grp long, block long, words binary, n_words int, ids binary, at binary, owner binary, removed binary, extra binary, like binary"
 
 
 def _constants(n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -59,157 +63,317 @@ def _constants(n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 _MIX = _constants(WINDOW)
 
 
-def _bin(prefix: np.ndarray) -> np.ndarray:
-    return ((prefix * _MIX[-1]) >> np.uint64(64 - _BINS)).astype(np.int64)
+def packed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as differences, byte by byte plane: the high planes are zeros, which compress."""
+    return np.diff(values.astype(np.uint64), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-class Block:
-    """The words of consecutive documents, hashed."""
+def unpacked(raw: bytes | None) -> np.ndarray:
+    planes = np.frombuffer(raw or b"", np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
-    def __init__(self):
-        self.parts: list[np.ndarray] = []
-        self.lengths: list[int] = []
 
-    def add(self, words: list[bytes]) -> None:
-        digest = xxhash.xxh64_intdigest
-        self.parts.append(np.fromiter(map(digest, words), np.uint64, len(words)))
-        self.lengths.append(len(words))
-
-    def close(self) -> None:
-        self.words = np.concatenate(self.parts) if self.parts else np.empty(0, np.uint64)
-        self.parts.clear()
-        n = np.array(self.lengths, np.int64)
-        self.document = np.repeat(np.arange(len(n)), n)
-        left = np.repeat(np.cumsum(n), n) - np.arange(len(self.words))  # words from here to the document's end
-        self.at = np.flatnonzero(left >= WINDOW)  # where windows start
-
-    def prefixes(self) -> Iterator[np.ndarray]:
-        """For each window, the fingerprint of its first 1, 2, ... WINDOW words (the same array each time)."""
-        total = np.zeros(len(self.at), np.uint64)
-        for j in range(WINDOW):
-            total += self.words[self.at + j] * _MIX[j]
-            yield total
-
-    def frequent(self, groups: int) -> list[tuple[int, int, int]]:
-        """(prefix length, bin, count) of prefixes that at least one in ``groups`` of the windows has."""
-        out, some, least = [], np.arange(len(self.at)), max(2.0, len(self.at) / groups)
-        for length, prefix in enumerate(self.prefixes(), 1):
-            if length == WINDOW or not len(some):
-                break
-            bins = _bin(prefix[some])
-            counts = np.bincount(bins, minlength=1 << _BINS)
-            often = counts >= least
-            out += [(length, int(b), int(counts[b])) for b in np.flatnonzero(often)]
-            some = some[often[bins]]
-        return out
-
-    def suffixes(self, frequent: dict[int, np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each window its fingerprint, and its group by the shortest prefix that is not frequent."""
-        group = np.zeros(len(self.at), np.uint64)
-        some = np.arange(len(self.at))
-        for length, prefix in enumerate(self.prefixes(), 1):
-            if len(some):
-                own = prefix[some]
-                group[some] = (own ^ (own >> np.uint64(29))) * _MIX[length % WINDOW] >> np.uint64(20)
-                some = some[np.isin(_bin(own), frequent[length])] if length in frequent else some[:0]
-        return prefix.copy() if len(self.at) else group, (group % np.uint64(groups)).astype(np.int64)
+def _squeezed(values: np.ndarray) -> bytes:
+    """64-bit values in any order, as compressed byte planes of their differences (modulo 2^64)."""
+    steps = np.diff(values.view(np.uint64), prepend=np.uint64(0))
+    return pa.compress(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences, byte by byte plane: the high planes are zeros, which compress."""
-    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    return unpacked(pa.decompress(raw, 8 * n, "zstd", asbytes=True)).view(np.int64) if n else np.empty(0, np.int64)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _starts(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+
+
+def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes (rows of word numbers) by their words, and how many words each shares with the one before it:
+    the internal nodes of their tree are the runs of neighbours that share a number of words."""
+    if not len(suffixes):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    bits = max(1, int(suffixes.max()).bit_length())
+    each = 64 // bits
+    keys = []
+    for a in range(0, suffixes.shape[1], each):
+        key = np.zeros(len(suffixes), np.uint64)
+        for j in range(a, min(a + each, suffixes.shape[1])):
+            key = (key << np.uint64(bits)) | suffixes[:, j].astype(np.uint64)
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    shared, alike = np.zeros(len(order), np.int64), np.ones(len(order) - 1, bool)
+    for j in range(suffixes.shape[1]):
+        column = suffixes[order, j]
+        alike &= column[1:] == column[:-1]
+        shared[1:] += alike
+    return order, shared
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    """Runs of rows of one block."""
-    number, block = None, Block()
+class Block:
+    """The words of some texts, numbered, with each window's fingerprint. Windows of rows without an id don't count."""
+
+    def __init__(self, texts: Iterator[tuple[pa.Array, pa.Array]]):
+        ids, lists, lengths = [], [], []
+        for own, text in texts:
+            split = pc.ascii_split_whitespace(text.cast(pa.large_binary()).view(pa.large_string()))
+            flat = split.flatten()
+            real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+            before = np.concatenate([[0], np.cumsum(real)])
+            at = before[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            ids.append(own)
+            lists.append(flat.filter(pa.array(real)))
+            lengths.append(np.diff(at))
+        numbered = (pa.chunked_array(lists) if lists else pa.chunked_array([], pa.large_string())).combine_chunks().dictionary_encode()
+        numbered = numbered.chunk(0) if isinstance(numbered, pa.ChunkedArray) else numbered
+        self.words, self.number = numbered.dictionary, numbered.indices.to_numpy().astype(np.int32)
+        n = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+        owner = pa.chunked_array(ids, pa.int64()) if ids else pa.chunked_array([], pa.int64())
+        left = np.repeat(np.cumsum(n), n) - np.arange(len(self.number))  # words from here to the text's end
+        self.has_id = np.repeat(~owner.is_null().to_numpy().astype(bool), n)
+        self.at = np.flatnonzero((left >= WINDOW) & self.has_id)  # where windows start
+        self.owner = np.repeat(owner.fill_null(0).to_numpy(), n)[self.at]
+        digest = xxhash.xxh64_intdigest
+        self.hashes = np.fromiter(map(digest, self.words.view(pa.large_binary()).to_pylist()), np.uint64, len(self.words))
+
+    def prints(self) -> np.ndarray:
+        hashed, out = self.hashes[self.number], np.zeros(len(self.at), np.uint64)
+        for j in range(WINDOW):
+            out += hashed[self.at + j] * _MIX[j]
+        return out ^ (out >> np.uint64(32)) * _MIX[0]
+
+    def suffixes(self, windows: np.ndarray) -> np.ndarray:
+        """The words of some windows (indices of at), a row for each."""
+        at = self.at[windows]
+        return np.stack([self.number[at + j] for j in range(WINDOW)], axis=1) if len(at) else np.empty((0, WINDOW), np.int32)
+
+    def nodes(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows that the block has more than once: their indices, node by node, and where nodes start."""
+        order = np.argsort(prints, kind="stable")
+        ordered = prints[order]
+        starts = _starts(ordered)
+        n = np.diff([*starts, len(ordered)])
+        many, sizes = order[np.repeat(n > 1, n)], n[n > 1]
+        ends = np.cumsum(sizes)
+        windows, edges, done = [], [], 0
+        a = 0
+        while a < len(sizes):  # parts of the block's tree: equal windows have equal fingerprints
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SORTED_AT_ONCE, "right")))
+            some = many[ends[a - 1] if a else 0 : ends[b - 1]]
+            place, shared = subtree(self.suffixes(some))
+            windows.append(some[place])
+            edges.append(done + np.flatnonzero(shared < WINDOW))
+            done, a = done + len(some), b
+        if not windows:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(windows), np.concatenate(edges)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    return ((b.column("id"), b.column("text")) for b in batches)
+
+
+def _runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    now, held = None, []
     for batch in batches:
-        for own, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if own != number:
-                if number is not None:
-                    block.close()
-                    yield number, block
-                number, block = own, Block()
-            block.add((text or b"").split())
-    if number is not None:
-        block.close()
-        yield number, block
+        number = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if held and number[a] != now:
+                yield now, held
+                held = []
+            now = int(number[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, held
 
 
-def _counter(groups: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _by_block(batches):
-            found = [*block.frequent(groups), (0, 0, len(block.at))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["length", "bin", "n"])
+# ---- which windows several blocks have -----------------------------------------------------------------------------
 
-    return count
 
+def _printer(bits: int, ranges: int):
+    """Each block's fingerprints by range, and its common words."""
 
-def _sender(frequent: dict[int, np.ndarray], groups: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _by_block(batches):
-            prints, group = block.suffixes(frequent, groups)
-            order = np.argsort(group.astype(np.uint16) if groups <= 1 << 16 else group, kind="stable")
-            prints, group = prints[order], group[order]
-            which, starts = np.unique(group, return_index=True)
-            rows = [packed(np.unique(prints[a:b])) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["grp", "block", "suffixes"])
+        for number, held in _runs_of_blocks(batches):
+            block = Block(_texts(iter(held)))
+            prints = np.unique(block.prints() >> np.uint64(64 - bits))
+            cuts = np.searchsorted(prints, [(i << bits) // ranges for i in range(ranges + 1)])
+            rows = [{"grp": i, "block": number, "prints": packed(prints[a:b]), "common": None} for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+            n = np.bincount(block.number, minlength=len(block.words))
+            common = block.hashes[n * COMMON_SHARE >= max(1, len(block.number))].view(np.int64)
+            rows.append({"grp": number % ranges, "block": number, "prints": None, "common": common})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("common", pa.list_(pa.int64()))]))
 
     return send
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group. Of each group, the nodes that several blocks share, told to all but the lowest of them."""
+def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by range and block. Tells each block which of its fingerprints another one has; common words are
+    passed on."""
+    schema = pa.schema([("block", pa.int64()), ("prints", pa.binary()), ("n", pa.int64()), ("common", pa.list_(pa.int64()))])
 
-    def nodes(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    def shared(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = [unpacked(raw) for _, raw in rows]
-        suffix = np.concatenate(parts)
-        block = np.repeat(np.array([b for b, _ in rows], np.int32), [len(p) for p in parts])
-        order = np.argsort(suffix, kind="stable")
-        suffix, block = suffix[order], block[order]
-        starts = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]])) if len(suffix) else np.empty(0, int)
-        lowest = np.repeat(np.minimum.reduceat(block, starts), np.diff([*starts, len(block)])) if len(suffix) else block
-        suffix, block = suffix[block > lowest], block[block > lowest]
-        which = np.unique(block)
-        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([packed(np.unique(suffix[block == b])) for b in which], pa.binary())], ["block", "nodes"])
+        prints, numbers = np.concatenate(parts), np.unique([b for b, _ in rows])
+        block = np.repeat(np.searchsorted(numbers, [b for b, _ in rows]).astype(np.int32), [len(p) for p in parts])
+        order = np.argsort(prints, kind="stable")  # blocks stay in order
+        prints, block = prints[order], block[order]
+        starts = _starts(prints)
+        several = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts)
+        keep = np.repeat(several, np.diff([*starts, len(prints)]))
+        prints, block = prints[keep], block[keep]
+        by_block = np.argsort(block, kind="stable")
+        prints, block = prints[by_block], block[by_block]
+        edges = _starts(block)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=False):
+            own = np.unique(prints[a:b])
+            yield pa.RecordBatch.from_pylist([{"block": int(numbers[block[a]]), "prints": packed(own), "n": len(own)}], schema)
 
     group, rows = None, []
     for batch in batches:
-        for own, block, raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "suffixes")), strict=True):
+        for own, block, raw, common in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "prints", "common")), strict=True):
             if own != group and rows:
-                yield nodes(rows)
+                yield from shared(rows)
                 rows = []
             group = own
-            rows.append((block, raw))
+            if raw is None:
+                yield pa.RecordBatch.from_pylist([{"block": block, "common": common}], schema)
+            else:
+                rows.append((block, raw))
     if rows:
-        yield nodes(rows)
+        yield from shared(rows)
 
 
-def _removed(block: Block, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which words of the block go. ids: its documents'; known: windows that lower blocks have."""
-    gone = np.zeros(len(block.words) + 1, np.int64)
-    if len(block.at):
-        for prints in block.prefixes():
-            pass
-        document = ids[block.document[block.at]]
-        order = np.argsort(prints, kind="stable")
-        ordered, owner = prints[order], document[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        n = np.diff([*starts, len(ordered)])
-        repeated = owner > np.repeat(np.minimum.reduceat(owner, starts), n)
-        if len(known):
-            node = ordered[starts]
-            place = np.minimum(np.searchsorted(known, node), len(known) - 1)
-            repeated |= np.repeat(known[place] == node, n)
-        at = block.at[order[repeated]]
-        np.add.at(gone, at, 1)
-        np.add.at(gone, at + WINDOW, -1)
-    return np.cumsum(gone[:-1]) > 0
+# ---- suffixes to groups, trees -------------------------------------------------------------------------------------
+
+
+def prefix_groups(words: np.ndarray, common: np.ndarray, rare: int, groups: int) -> np.ndarray:
+    """Groups of suffixes (rows of hashed words): by the words up to the rare-th that isn't common."""
+    prefix, open_, met_ = np.zeros(len(words), np.uint64), np.ones(len(words), bool), np.zeros(len(words), np.int64)
+    for j in range(words.shape[1]):
+        column = words[:, j]
+        prefix = np.where(open_, (prefix ^ (prefix >> np.uint64(29))) * _MIX[1] + column * _MIX[0], prefix)
+        met_ += open_ & ~np.isin(column, common)
+        open_ &= met_ < rare
+    return (((prefix ^ (prefix >> np.uint64(31))) * _MIX[2] >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+
+
+def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = dict.fromkeys(x.split()[0] for x in _MESSAGE.split(", "))
+        schema = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("ids", "at", "owner", "removed", "extra", "like"))])
+        for files, answers in block_rows(batches, ("prints",)):
+            block = Block(_texts(files.batches(["id", "text"])))
+            prints = block.prints()
+            windows, starts = block.nodes(prints)
+            n = np.diff([*starts, len(windows)])
+            # A node's first window is that of its smallest id; the others of that id follow it, those of larger ids go.
+            node = np.repeat(np.arange(len(starts)), n)
+            order = np.lexsort((windows, block.owner[windows], node))
+            windows = windows[order]
+            first = np.repeat(windows[starts], n) if len(starts) else windows
+            same = block.owner[windows] == block.owner[first]
+            removed, more = np.sort(windows[~same]), same & (windows != first)
+            extra, like = windows[more], first[more]
+            sole = np.ones(len(prints), bool)
+            sole[windows] = False
+            sole[first] = True
+            told = np.unique(np.concatenate([unpacked(p) for (p,) in answers])) if answers else np.empty(0, np.uint64)
+            own = np.flatnonzero(sole)
+            if len(told):
+                cut = prints[own] >> np.uint64(64 - bits)
+                own = own[told[np.minimum(np.searchsorted(told, cut), len(told) - 1)] == cut]
+            else:
+                own = own[:0]
+            rows = []
+            if len(own):
+                matrix = block.suffixes(own)
+                group = prefix_groups(block.hashes[matrix], common, rare, groups)
+                order = np.argsort(group, kind="stable")
+                edges = _starts(group[order])
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=False):
+                    some = order[a:b]
+                    used, ids = np.unique(matrix[some].T, return_inverse=True)
+                    width = 1 if len(used) <= 256 else 2 if len(used) <= 1 << 16 else 4
+                    ids = ids.reshape(-1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+                    text = pa.array(block.words.take(pa.array(used)).view(pa.large_binary()).to_pylist(), pa.large_binary())
+                    lengths = pc.binary_length(text).to_numpy().astype("<u4").tobytes()
+                    words = pa.compress(lengths + b"".join(text.to_pylist()), "zstd", asbytes=True)
+                    size = len(lengths) + int(np.frombuffer(lengths, "<u4").sum())
+                    rows.append(nothing | {"grp": int(group[some[0]]), "block": files.block, "n_words": len(used), "words": size.to_bytes(8, "little") + words, "ids": pa.compress(ids, "zstd", asbytes=True), "at": packed(own[some]), "owner": _squeezed(block.owner[own[some]])})
+            if len(removed) or len(extra):
+                rows.append(nothing | {"grp": files.block * 7919 % groups, "block": files.block, "removed": packed(removed), "extra": extra.astype("<i8").tobytes(), "like": like.astype("<i8").tobytes()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return send
+
+
+def _trees(at_once: int):
+    """Rows come sorted by group. Tells each block which of its suffixes lie below a deep node with a smaller doc_id of
+    another block; what blocks found by themselves is passed on. A group of more suffixes than at_once is split by whole
+    windows, one part after the other."""
+    schema = pa.schema([("block", pa.int64()), ("removed", pa.binary()), ("extra", pa.binary()), ("like", pa.binary())])
+
+    def grown(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        texts, places, owners, blocks = [], [], [], []
+        for block, words, n_words, _, at, owner in rows:
+            raw = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), "zstd", asbytes=True)
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw[: 4 * n_words], "<u4"), dtype=np.int64)])
+            texts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 * n_words :])]))
+            places.append(unpacked(at).astype(np.int64))
+            owners.append(_unsqueezed(owner, len(places[-1])))
+            blocks.append(np.full(len(places[-1]), block, np.int64))
+        numbers = pa.concat_arrays(texts).dictionary_encode().indices.to_numpy().astype(np.int32)
+        parts = -(-sum(map(len, places)) // at_once)
+        for part in range(parts):
+            matrix, which, first = [], [], 0
+            for (_, _, n_words, raw, _, _), at in zip(rows, places, strict=True):
+                width = 1 if n_words <= 256 else 2 if n_words <= 1 << 16 else 4
+                planes = np.frombuffer(pa.decompress(raw, width * WINDOW * len(at), "zstd", asbytes=True), np.uint8).reshape(width, -1)
+                ids = np.zeros((planes.shape[1], 4), np.uint8)
+                ids[:, :width] = planes.T
+                suffixes = numbers[first + ids.view("<u4").reshape(WINDOW, -1).T]
+                first += n_words
+                some = np.flatnonzero(((suffixes.astype(np.uint64) * _MIX).sum(axis=1) >> np.uint64(33)) % np.uint64(parts) == np.uint64(part)) if parts > 1 else slice(None)
+                matrix.append(suffixes[some])
+                which.append(some)
+            yield from told(np.concatenate(matrix), *(np.concatenate([x[w] for x, w in zip(xs, which, strict=True)]) for xs in (places, owners, blocks)))
+
+    def told(matrix: np.ndarray, place: np.ndarray, owner: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(matrix):
+            return
+        order, shared = subtree(matrix)
+        place, owner, block = place[order], owner[order], block[order]
+        starts = np.flatnonzero(shared < WINDOW)
+        least = np.repeat(np.minimum.reduceat(owner, starts), np.diff([*starts, len(order)]))
+        go = np.flatnonzero(owner > least)
+        go = go[np.lexsort((place[go], block[go]))]
+        edges = _starts(block[go])
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(go)], strict=False):
+            yield pa.RecordBatch.from_pylist([{"block": int(block[go[a]]), "removed": packed(place[go[a:b]])}], schema)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for own, *row, removed, extra, like in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "words", "n_words", "ids", "at", "owner", "removed", "extra", "like")), strict=True):
+                if own != group and rows:
+                    yield from grown(rows)
+                    rows = []
+                group = own
+                if removed is not None:
+                    yield pa.RecordBatch.from_pylist([{"block": row[0], "removed": removed, "extra": extra, "like": like}], schema)
+                else:
+                    rows.append(tuple(row))
+        if rows:
+            yield from grown(rows)
+
+    return grow
+
+
+# ---- what is left --------------------------------------------------------------------------------------------------
 
 
 def without(text: bytes, gone: np.ndarray) -> bytes:
@@ -226,18 +390,17 @@ def _runs(gone: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def _judge(batch: pa.RecordBatch, marks: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+def _judge(batch: pa.RecordBatch, split: list[list[bytes]], marks: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
     """Rows of SCHEMA."""
     rows = []
-    for doc_id, text, gone in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), marks, strict=True):
-        words = (text or b"").split()
+    for doc_id, words, gone in zip(batch.column("id").to_pylist(), split, marks, strict=True):
         kept = b" ".join(words) if not gone.any() else b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
         rows.append((doc_id, len(words), int(gone.sum()), _runs(gone), hashlib.sha256(kept).hexdigest()))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _rewriter(text_col: str, count_col: str | None) -> Callable:
-    def rewrite(batch: pa.RecordBatch, marks: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    def rewrite(batch: pa.RecordBatch, split: list[list[bytes]], marks: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
         """The rows of the input, their texts without what repeats."""
         given = batch.column("row")
         columns = {given.type.field(i).name: given.field(i) for i in range(given.type.num_fields)}
@@ -250,93 +413,79 @@ def _rewriter(text_col: str, count_col: str | None) -> Callable:
     return rewrite
 
 
+def _window_starts(n: np.ndarray, has_id: np.ndarray) -> np.ndarray:
+    """Where windows start, from the texts' numbers of words and whether they have an id."""
+    left = np.repeat(np.cumsum(n), n) - np.arange(int(n.sum()))
+    return np.flatnonzero((left >= WINDOW) & np.repeat(has_id, n))
+
+
 def _settler(answer: Callable, schema: pa.Schema, with_row: bool):
-    """Rows come sorted by block: one that names its file, and those that name windows of lower blocks."""
-
-    def settle(path: str, nodes: list[bytes]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(np.concatenate([unpacked(x) for x in nodes])) if nodes else np.empty(0, np.uint64)
-        system, name = fs.FileSystem.from_uri(path)
-        with system.open_input_file(name) as file:
-            table = pq.ParquetFile(file)
-            block, ids = Block(), []
-            for batch in table.iter_batches(1000, columns=["id", "text"]):
-                ids += batch.column("id").to_pylist()
-                for text in batch.column("text").to_pylist():
-                    block.add((text or b"").split())
-            block.close()
-            gone = _removed(block, np.array(ids, np.int64), known)
-            marks = np.split(gone, np.cumsum(block.lengths)[:-1]) if block.lengths else []
-            at = 0
-            for batch in table.iter_batches(1000, columns=["id", "text"] + ["row"] * with_row):
-                yield answer(batch, marks[at : at + len(batch)], schema)
-                at += len(batch)
+    def settle(files: Files, removed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, has_id = [], []
+        for batch in files.batches(["id", "text"]):
+            has_id.append(pc.is_valid(batch.column("id")).to_numpy(zero_copy_only=False))
+            n.append(np.fromiter((len(t.split()) if t else 0 for t in batch.column("text").to_pylist()), np.int64, len(batch)))
+        n = np.concatenate(n)
+        gone = np.zeros(int(n.sum()) + 1, np.int64)
+        at = _window_starts(n, np.concatenate(has_id))[removed]
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + WINDOW, -1)
+        gone, first = np.cumsum(gone[:-1]) > 0, 0
+        for batch in files.batches(["id", "text"] + ["row"] * with_row):
+            split = [(t or b"").split() for t in batch.column("text").to_pylist()]
+            marks = []
+            for words in split:
+                marks.append(gone[first : first + len(words)])
+                first += len(words)
+            yield answer(batch, split, marks, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, path, nodes = None, None, []
-        for batch in batches:
-            for own, file, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "path", "nodes")), strict=True):
-                if own != block and path is not None:
-                    yield from settle(path, nodes)
-                    path, nodes = None, []
-                block, path = own, file or path
-                if raw is not None:
-                    nodes.append(raw)
-        if path is not None:
-            yield from settle(path, nodes)
+        for files, answers in block_rows(batches, ("removed", "extra", "like")):
+            removed = np.unique(np.concatenate([np.empty(0, np.int64), *(unpacked(r).astype(np.int64) for r, _, _ in answers)]))
+            extra, like = (np.frombuffer(b"".join(a[i] or b"" for a in answers), "<i8") for i in (1, 2))
+            yield from settle(files, np.union1d(removed, extra[np.isin(like, removed)]))
 
     return run
 
 
-def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out: T.StructType, with_row: bool, block_bytes: int, group_bytes: int) -> DataFrame:
+def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out: T.StructType, with_row: bool, block_bytes: int, group_suffixes: int, spare: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = docs.sparkSession
-    small_batches(spark)
-    given = docs.filter(F.col(id_col).isNotNull())
-    size = given.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
-    n_blocks, groups = max(1, -(-size // block_bytes)), max(1, -(-size // group_bytes))
     columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")]
     if with_row:
         columns.append(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
-    dealt = given.select(*columns).repartitionByRange(n_blocks, "id").sortWithinPartitions("id").withColumn("block", F.spark_partition_id())
-    blocks = stored(dealt, "blocks")
-    texts = blocks.select("block", "text")
-    counted = texts.mapInArrow(_counter(groups), "length long, bin long, n long").groupBy("length", "bin").agg(F.sum("n").alias("n"))
-    # Of at most FREQUENT prefixes; a group holds at least that many windows if they are not made longer.
-    often = counted.orderBy(F.desc("n")).limit(FREQUENT + 1).collect()
-    least = max(1, sum(r.n for r in often if r.length == 0) // groups)
-    frequent: dict[int, list[int]] = {}
-    for r in often:
-        if r.length and r.n >= least:
-            frequent.setdefault(r.length, []).append(r.bin)
-    sorted_bins = {length: np.array(sorted(bins), np.int64) for length, bins in frequent.items()}
-    sent = texts.mapInArrow(_sender(sorted_bins, groups), "grp long, block int, suffixes binary")
-    trees = sent.repartition(-(-groups // TASK_GROUPS), "grp").sortWithinPartitions("grp", "block").mapInArrow(_trees, "block int, nodes binary")
-    files = blocks.select("block", F.col("_metadata.file_path").alias("path")).distinct()
-    told = files.withColumn("nodes", F.lit(None).cast("binary")).unionByName(trees.withColumn("path", F.lit(None).cast("string")))
-    per_block = told.repartition(3 * n_blocks, "block").sortWithinPartitions("block", F.col("path").isNull())
-    return per_block.mapInArrow(_settler(answer, to_arrow_schema(out), with_row), out)
-
-
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    blocks = in_blocks(docs.select(*columns), "text", block_bytes, "blocks")
+    files = files_of(blocks)
+    size = blocks.agg(F.sum(F.length("text")).alias("n"), F.count_distinct("block").alias("blocks")).first()
+    n_bytes, n_blocks = size.n or 0, max(1, size.blocks)
+    bits = min(64, max(2, max(1, n_bytes // 2).bit_length() + spare))
+    ranges = max(1, -(-n_bytes // RANGE_BYTES))
+    printed = blocks.select("block", "id", "text").mapInArrow(_printer(bits, ranges), "grp long, block long, prints binary, common array<long>")
+    matched = stored(printed.repartition(ranges, "grp").sortWithinPartitions("grp", "block").mapInArrow(_matcher, "block long, prints binary, n long, common array<long>"), "prints")
+    left = matched.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, -(-left // group_suffixes))
+    words = matched.select(F.explode("common").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    # Those that are common in most blocks: as a block names COMMON_SHARE of them at most, there are twice as many at most.
+    common = [r.w for r in words.filter(F.col("n") * 2 > n_blocks).select("w").collect()]
+    rare = 1
+    while COMMON_SHARE**rare < 8 * groups:
+        rare += 1
+    told = matched.filter("prints IS NOT NULL").select("block", "prints")
+    sender = _suffix_sender(bits, np.sort(np.array(common, np.int64).view(np.uint64)), rare, groups)
+    sent = met(files, told, n_blocks).mapInArrow(sender, _MESSAGE)
+    trees = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_trees(2 * group_suffixes), "block long, removed binary, extra binary, like binary")
+    return met(files, trees, n_blocks).mapInArrow(_settler(answer, to_arrow_schema(out), with_row), out)
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES, spare: int = SPARE) -> DataFrame:
     """SCHEMA: per row, its words, those removed (also as ranges of words) and the digest of what is kept."""
     out = T.StructType.fromDDL(SCHEMA)
-    found = _settled(docs.select(id_col, text_col), id_col, text_col, _judge, out, False, block_bytes, group_bytes)
-    words = F.filter(F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+", " "), " "), lambda w: w != "")
-    whole = docs.filter(F.col(id_col).isNull()).select(
-        F.lit(None).cast("long").alias("doc_id"),
-        F.size(words).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_removed"),
-        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"),
-        F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"),
-    )
-    return found.union(whole)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    return _settled(docs.select(id_col, text_col), id_col, text_col, _judge, out, False, block_bytes, group_suffixes, spare)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES, spare: int = SPARE) -> DataFrame:
     """docs with the repeated words taken out of text_col, all other columns kept; count_col, if named, gets the new length."""
-    rewritten = _settled(docs, id_col, text_col, _rewriter(text_col, count_col), docs.schema, True, block_bytes, group_bytes)
-    return rewritten.union(docs.filter(F.col(id_col).isNull()))
+    return _settled(docs, id_col, text_col, _rewriter(text_col, count_col), docs.schema, True, block_bytes, group_suffixes, spare)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import encoder
-from .shared import read_table, small_batches, stored, workspace
+from .shared import read_table, small, stored, workspace
 
 LIMIT = 512
 _SCHEMA = "digest binary, n_tokens long"
@@ -35,7 +35,7 @@ def tokenizer_digest(path: str) -> str:
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = encoder(path).counts
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts(batch.column("content")))], ["digest", "n_tokens"])
 
     return count
@@ -49,7 +49,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row. tokenizer: a vocabulary file; cache: the cache's folder, made if it isn't there."""
     spark = docs.sparkSession
-    small_batches(spark)
     content = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(content, 256))
     at = f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}"

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lookup, read_table, small_batches, stored, text_bytes, workspace
+from .shared import lookup, read_table, small, stored, text_bytes, workspace
 
 DATE = "1970-01-01T00:00:00Z"
 ARCHIVE_BYTES = 256 << 20
@@ -90,7 +90,7 @@ def _writer(folder: str, archive_bytes: int, level: int):
         system.create_dir(path, recursive=True)
         stem, n, out, at = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, None, 0
         try:
-            for batch in batches:
+            for batch in small(batches):
                 rows = []
                 for row in batch.to_pylist():
                     if out is None or at >= archive_bytes:
@@ -122,7 +122,6 @@ def _arrow(ddl: str) -> pa.Schema:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write pages(page_id, url, html) as archives below folder; the index, stored."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_bytes("html").alias("payload"))
     rows = rows.withColumn("_sha1", F.unhex(F.sha1("payload")))
     groups = rows.filter(F.length("payload") >= least_bytes).groupBy("_sha1").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))

@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lontar.llm import substrings
+from lontar.llm.blocks import Files, block_rows, files_of, in_blocks
 
 DOCS = "doc_id long, text string, block int, id string, removed long"
 
@@ -42,19 +44,73 @@ def rows(seed):
     return out
 
 
-@pytest.mark.parametrize("seed, block, group", [(1, 1 << 24, 1 << 24), (2, 4000, 3000), (3, 30_000, 6000)])
-def test_against_all_windows(spark, seed, block, group):
+# spare: so few bits that fingerprints of different windows agree
+@pytest.mark.parametrize("seed, block, group, spare", [(1, 1 << 24, 1 << 20, 10), (2, 4000, 500, 10), (3, 30_000, 300, 10), (4, 4000, 100, -30), (5, 2000, 1000, -12)])
+def test_against_all_windows(spark, seed, block, group, spare):
     data = rows(seed)
     docs = spark.createDataFrame([(*x, 1, "clash", 2) for x in data], DOCS).repartition(3)
-    got = substrings.find_repeats(docs, block_bytes=block, group_bytes=group).collect()
+    got = substrings.find_repeats(docs, block_bytes=block, group_suffixes=group, spare=spare).collect()
     assert sorted((x.doc_id is None, x.doc_id or 0, x.n_words, x.n_removed, x.kept_sha256) for x in got) == by_hand(data)
     assert all(sum(y.end - y.start for y in x.removed) == x.n_removed for x in got)
-    kept = substrings.without_repeats(docs, count_col="removed", block_bytes=block, group_bytes=group).collect()
+    kept = substrings.without_repeats(docs, count_col="removed", block_bytes=block, group_suffixes=group, spare=spare).collect()
     again = sorted((x.doc_id is None, x.doc_id or 0, hashlib.sha256(" ".join(re.findall(r"[^\x20\x09-\x0D]+", x.text or "")).encode()).hexdigest()) for x in kept)
     assert again == sorted((a, b, e) for a, b, _, _, e in by_hand(data))
     assert all(x.block == 1 and x.id == "clash" for x in kept)
 
 
+@pytest.mark.parametrize("most", [1, 7])
+def test_no_row_is_lost_where_blocks_span_files(spark, most):
+    data = rows(6)
+    docs = spark.createDataFrame([(*x, 1, "clash", 2) for x in data], DOCS).repartition(2)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+    try:
+        got = substrings.find_repeats(docs, block_bytes=20_000).collect()
+        kept = substrings.without_repeats(docs, block_bytes=20_000).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.n_words, x.n_removed, x.kept_sha256) for x in got) == by_hand(data)
+    assert kept == len(data)
+
+
+def test_a_block_with_another_number_of_rows_raises(spark):
+    blocks = in_blocks(spark.createDataFrame([(1, b"a")], "id long, text binary"), "text", 100, "blocks")
+    row = files_of(blocks).first()
+    assert [len(b) for b in Files(row.block, [(row.path, 1)]).batches(["id"])] == [1]
+    with pytest.raises(RuntimeError):
+        list(Files(row.block, [(row.path, 2)]).batches(["id"]))
+    with pytest.raises(RuntimeError):
+        list(block_rows(iter([pa.RecordBatch.from_pylist([{"block": 1, "path": None, "n_rows": None, "x": 1}])]), ("x",)))
+
+
+def test_one_doc_id_may_lie_in_many_blocks(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    data = [(7, f"{passage} x{i} {passage}") for i in range(40)] + [(8, f"y {passage}"), (9, passage)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = substrings.find_repeats(docs, block_bytes=300, group_suffixes=50).collect()
+    assert sorted((False, x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == by_hand(data)
+
+
+def test_words_decide_where_fingerprints_agree():
+    texts = [f"a b c d e f g h i j k l m{i % 3} n o p q r s t u v w x y" for i in range(6)]
+    block = substrings.Block(iter([(pa.array(range(6)), pa.array(texts))]))
+    windows, starts = block.nodes(np.zeros(len(block.at), np.uint64))
+    found = sorted(sorted(w.tolist()) for w in np.split(windows, starts[1:]))
+    same = {}
+    words = [w for t in texts for w in t.split()]
+    for i, at in enumerate(block.at):
+        same.setdefault(tuple(words[at : at + 13]), []).append(i)
+    assert found == sorted(same.values())
+
+
+def test_the_tree_of_sorted_suffixes():
+    r = np.random.default_rng(2)
+    suffixes = r.integers(0, 3, (500, 4)).astype(np.int32)
+    order, shared = substrings.subtree(suffixes)
+    ordered = suffixes[order].tolist()
+    assert ordered == sorted(suffixes.tolist())
+    assert shared.tolist() == [0] + [next((k for k in range(4) if a[k] != b[k]), 4) for a, b in zip(ordered, ordered[1:], strict=False)]
+
+
 def test_nothing(spark):
     assert substrings.find_repeats(spark.createDataFrame([], DOCS)).collect() == []
     assert substrings.without_repeats(spark.createDataFrame([], DOCS)).collect() == []
