@@ -7,11 +7,11 @@ A class is divided for as long as its words, its most frequent one aside, have a
 classes grow with the vocabulary, up to MAX_LEAVES of them. Words left in one undivided class share it by their counts
 plus one, and so does what it gives to unknown words.
 
-Every softmax has hashed features of the words before: the previous one (bigram), the one before that (skip) and both
-(trigram), each with the class to be divided; they tilt a reference, the class's counted division. The weights are
-trained by gradient: in each of EPOCHS passes over all training texts, TURNS times, every task sums the gradient of its
-share of the texts, the sums meet slab by slab, and the driver, which holds nothing but the model, takes a step. The
-model has 2^bits rows of weights a feature, where bits grow with the text up to MAX_BITS (it is sent to all tasks).
+Every softmax has hashed features of the words before: the previous one (n-gram) and the one before that (skip), each
+with the class to be divided; they tilt a reference, the class's counted division. The weights are trained by gradient:
+in each of EPOCHS passes over all training texts, TURNS times, every task sums the gradient of its share of the texts,
+the sums meet slab by slab, and the driver, which holds nothing but the model, takes a step. The model has 2^bits rows of
+weights a feature, where bits grow with the text up to MAX_BITS (it is sent to all tasks).
 
 Counts of words are exact and cover all training texts. Texts are stored in the shared folder in blocks, without a
 shuffle; a block sends its distinct words (as 64-bit keys; of n words some n^2 / 2^61 pairs may be taken for one by
@@ -50,13 +50,13 @@ FREQUENT_SHARE = 128
 #: Bytes of text that count as one token where the classes and tables are laid out.
 TOKEN_BYTES = 6
 #: Tokens for each row of weights; hash bits of a feature's rows.
-ROW_TOKENS, MIN_BITS, MAX_BITS = 2048, 12, 16
-EPOCHS, TURNS, STEP, PRIOR, DAMPING = 2, 2, 0.6, 8.0, 4.0
+ROW_TOKENS, MIN_BITS, MAX_BITS = 2048, 12, 15
+EPOCHS, TURNS, STEP, PRIOR, DAMPING = 1, 4, 0.8, 8.0, 4.0
 #: Bytes of text in a block; behind a group of word keys; groups of a task; bytes of text behind a training task.
 BLOCK_BYTES, GROUP_BYTES, TASK_GROUPS, TRAIN_BYTES = 32 << 20, 6 << 20, 8, 64 << 20
 #: Rows of weights in a slab; tokens of a batch.
 SLAB, ROWS = 4096, 1 << 12
-FAMILIES = 3
+FAMILIES = 2
 END = 0
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _CODED = "id long, held boolean, n_tokens long, n_known long, base double, leaf double, codes binary, turn int"
@@ -192,7 +192,7 @@ class Model:
         one[first] = _START
         two = np.concatenate([[_START], one[:-1]])
         two[first] = _START
-        past = (one * _MIX[1], two * _MIX[2], (one * _MIX[3]) ^ (two * _MIX[1]) ^ (one >> np.uint64(7)))
+        past = (one * _MIX[1], two * _MIX[2])
         levels = codes >> np.uint64(28)
         shift = np.uint64(64 - self.bits)
         for level in range(LEVELS):

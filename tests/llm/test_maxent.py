@@ -5,91 +5,186 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lontar.llm import maxent
 
-DOCS = "doc_id long, text string, score double, block int, held string"
+DOCS = "doc_id long, text string, block int, codes string"
 
 
-def rows():
-    r = random.Random(3)
-    chains = {w: [r.choice("abcdefghij") for _ in range(3)] for w in "abcdefghij"}
-    out = []
-    for d in range(400):
-        w, text = r.choice("abcdefghij"), []
-        for _ in range(r.choice([0, 1, 5, 60])):
-            text.append(w.upper() if r.random() < 0.1 else w)
-            w = r.choice(chains[w]) if r.random() < 0.9 else f"rare{r.randrange(300)}"
-            w = w if w in chains else r.choice("abcdefghij")
-        out.append((d, r.choice([" ", "\n\t"]).join(text)))
-    return [*out, (500, None), (None, "a b é"), (7, "a b c"), (7, "a b c"), (501, "unknown " * 20_000)]
+def corpus(seed, n=150):
+    r = random.Random(seed)
+    common, rare = "the of and to in".split(), [f"{r.choice('abcdefgh')}{i}{r.choice(['ing', 'ed', 'ly'])}" for i in range(400)]
+    rows = []
+    for d in range(n):
+        words = []
+        for _ in range(r.randint(0, 60)):
+            words += [r.choice(common), rare[min(int(r.expovariate(0.02)), 399)]] if r.random() < 0.7 else ["New", "york"]
+        rows.append((d, r.choice([" ", "\n", "\t "]).join(words)))
+    return [*rows, (3, "the Éa"), (None, "no id of"), (900, None), (901, ""), (902, " \r\n"), rows[5]]
 
 
-def held(d):
+def words_of(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), w).encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+def held_out(d):
     return zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
 
 
-def by_hand(data):
-    lower = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
-    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for _, t in data]
-    counts = Counter(w for (d, _), ws in zip(data, tokens, strict=True) if not held(d) for w in ws)
+@pytest.fixture
+def fine(monkeypatch):
+    """Limits that make a small corpus need all that a large one does."""
+    monkeypatch.setattr(maxent, "LEAF_TOKENS", 12)
+    monkeypatch.setattr(maxent, "FREQUENT_SHARE", 40)
+
+
+def test_base_columns(spark):
+    rows = corpus(1)
+    got = maxent.score_documents(spark.createDataFrame([(*x, 1, "clash") for x in rows], DOCS).repartition(3), block_bytes=4000, group_bytes=3000).collect()
+    counts = Counter(w for d, t in rows if not held_out(d) for w in [*words_of(t), b""])
     n, v = sum(counts.values()), len(counts)
-    return [(d is None, d or 0, held(d), len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for (d, _), ws in zip(data, tokens, strict=True)]
-
-
-@pytest.mark.parametrize("group_bytes", [1 << 25, 20_000])
-def test_counts_and_scores(spark, group_bytes):
-    data = rows()
-    docs = spark.createDataFrame([(*x, 0.5, 1, "clash") for x in data], DOCS).repartition(3)
-    got = maxent.score_documents(docs, group_bytes=group_bytes).collect()
-    key = lambda x: x[:5]
-    mine = sorted(((x.doc_id is None, x.doc_id or 0, x.held_out, x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in got), key=key)
-    for a, b in zip(mine, sorted(by_hand(data), key=key), strict=True):
-        assert a[:6] == b[:6] and a[6] == pytest.approx(b[6], rel=1e-9)
-    out = [x for x in mine if x[2] and x[1] < 400]
-    assert sum(x[7] for x in out) > sum(x[6] for x in out)  # held-out texts are likelier than by word counts alone
-
-
-def test_probabilities_add_up():
-    keys, n = maxent.word_keys([b"the cat sat on the mat", b"", b"a THE x"])
-    assert n.tolist() == [7, 1, 4] and keys[6] == maxent.END and keys[0] == keys[4] == keys[9]
-    known = np.unique(keys)
-    counts = np.array([int((keys == k).sum()) for k in known])
-    top = [(int(counts[i]), int(known[i])) for i in np.lexsort((known, -counts)) if known[i] != maxent.END]
-    model, tokens, words = maxent._model(top[: maxent.TOP], 3, np.concatenate(_sums(known, counts)))
-    assert tokens == 12 and words == len(known)
-    total = np.zeros(model.weights.shape)
-    seen = np.zeros(len(model.weights))
-    before = model.log10(keys, n, counts[np.searchsorted(known, keys)]).sum()
-    for _ in range(3):
-        total[:], seen[:] = 0, 0
-        model.gradient(keys, n, total, seen)
-        model.step(total, seen)
-    assert model.log10(keys, n, counts[np.searchsorted(known, keys)]).sum() > before
-    p = model.softmax([r[:5] for r in maxent.features(keys, n)])
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-
-
-def _sums(known, counts):
-    suffix = (known & np.uint64(15)).astype(int)
-    return [np.bincount(suffix, counts, maxent.SUFFIXES).astype(int), np.bincount(suffix, minlength=maxent.SUFFIXES)]
-
-
-def test_gradient_by_differences():
-    keys, n = maxent.word_keys([b"one two three two one two", b"three one two"])
-    model = maxent.Model(np.unique(keys)[1:3], np.full(maxent.CLASSES, 3.0), np.full(maxent.CLASSES, 2.0))
-    model.weights = model.weights.astype(np.float64)
-    total, seen = np.zeros(model.weights.shape), np.zeros(len(model.weights))
-    model.gradient(keys, n, total, seen)
-    at = (int(maxent.features(keys, n)[0][1]), int(model.classes(keys)[1]))
-    score = lambda: float((model.log10(keys, n, np.ones(len(keys))) * math.log(10)).sum())
-    low = score()
-    model.weights[at] += 1e-3
-    assert (score() - low) / 1e-3 == pytest.approx(total[at], abs=0.02)
+    want = []
+    for d, t in rows:
+        ts = [*words_of(t), b""]
+        want.append((d is None, d or 0, held_out(d), len(ts), sum(counts[w] > 0 for w in ts), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ts), 6)))
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == sorted(want)
+    assert all(x.score < 0 for x in got)
+
+
+def by_hand(rows, leaf, often_from):
+    """Each word's way (parts of classes) and its share of its last class, from the corpus alone."""
+    counts = Counter(w for d, t in rows if not held_out(d) for w in [*words_of(t), b""])
+    every = {w for _, t in rows for w in words_of(t)}
+    key = {w: int(maxent.word_keys([w])[0]) for w in every}
+    often = sorted((w for w in every if counts[w] >= often_from), key=lambda w: (-counts[w], -key[w]))
+    nibbles = {w: [(key[w] >> (60 - 4 * i)) & 15 for i in range(7)] for w in every}
+    digits = 1
+    while 16**digits < len(often) + 1:
+        digits += 1
+    ways = {w: [0, *((i >> (4 * (digits - 1 - k))) & 15 for k in range(digits))] for i, w in enumerate([b"", *often])}
+    share = dict.fromkeys(ways, 1.0)
+    others = every - set(often)
+    for w in others:
+        for depth in range(1, 8):
+            same = [x for x in others if nibbles[x][:depth] == nibbles[w][:depth]]
+            total = sum(counts[x] for x in same)
+            if depth == 7 or total - max(counts[x] for x in same) < leaf:
+                break
+        ways[w] = nibbles[w][:depth]
+        share[w] = (counts[w] + 1) / (total + sum(counts[x] > 0 for x in same) + 1)
+    return counts, ways, share
+
+
+def soft(model, way, level, history):
+    """The softmax over the parts of the class that a way has reached, straight from the definition."""
+    mask = (1 << 64) - 1
+    mix = [int(m) for m in maxent._MIX]
+    number = 0
+    for p in way[:level]:
+        number = number * 16 + p
+    node = number << 3 | level
+    salt = (node + 1) * mix[0] & mask
+    row = lambda x: ((x ^ (x >> 31)) * mix[4] & mask) >> (64 - model.bits)
+    logits = model.reference[row(salt)].astype(float)
+    for family, (h, m) in enumerate(zip(history, mix[1:3], strict=True)):
+        logits = logits + model.weights[family][row((h * m & mask) ^ salt)]
+    p = np.exp(logits)
+    return p / p.sum()
+
+
+def code(way):
+    number = 0
+    for p in way:
+        number = number * 16 + p
+    return len(way) << 28 | number << (28 - 4 * len(way))
+
+
+@pytest.mark.parametrize("block, group", [(1 << 20, 1 << 20), (4000, 3000)])
+def test_scores_are_recomputed_from_the_model(spark, fine, block, group):
+    rows = corpus(2)
+    docs = spark.createDataFrame([(*x, 1, "clash") for x in rows], DOCS).repartition(2)
+    coded, model, tokens, size = maxent.coded_texts(docs, block_bytes=block, group_bytes=group)
+    shape = maxent.Shape(size, group)
+    counts, ways, share = by_hand(rows, shape.leaf, shape.often)
+    if shape.always == 0:  # else upper classes are always divided
+        own = {maxent.word_keys([w])[0]: w for w in ways if w}
+        assert own and max(len(w) for w in ways.values()) > 2
+    maxent.train(coded, model, size)
+    assert np.abs(model.weights).max() > 0.1
+    sent = spark.sparkContext.broadcast(model)
+    got = {(x.doc_id, round(x.base_score, 6)): x.score for x in coded.mapInArrow(maxent._scorer(sent, tokens), maxent.SCHEMA).collect()}
+    start = 0xFFFFFFFF
+    if shape.always == 0:
+        for d, t in rows:
+            one = two = start
+            total = 0.0
+            ts = [*words_of(t), b""]
+            for w in ts:
+                for level, p in enumerate(ways[w]):
+                    total += math.log10(soft(model, ways[w], level, (one, two))[p])
+                total += math.log10(share[w])
+                one, two = code(ways[w]), one
+            base = sum(math.log10((counts[w] + 1) / (tokens + len(counts) + 1)) for w in ts)
+            assert abs(got[d, round(base, 6)] - total) < 1e-3 * len(ts)
+        # All known words and one unknown word for each last class share what there is.
+        known = {w for w in ways if counts[w] > 0}
+        total, last = 0.0, {}
+        for w in known:
+            p = math.prod(soft(model, ways[w], level, (start, start))[x] for level, x in enumerate(ways[w]))
+            total += p * share[w]
+            last.setdefault(tuple(ways[w]), []).append((p, share[w]))
+        total += sum(v[0][0] * (1 - sum(s for _, s in v)) for v in last.values())
+        assert 0.5 < total <= 1.0 + 1e-6
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    r = np.random.default_rng(1)
+    table = np.zeros((1 << 6, maxent.WIDTH))
+    codes = (np.uint32(2) << np.uint32(28)) | (r.integers(0, 256, 300).astype(np.uint32) << np.uint32(20))
+    n = np.array([100, 150, 50])
+    model = maxent.Model(6, table)
+    model.weights = r.normal(0, 0.3, model.weights.shape).astype(np.float32)
+    seen, due = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    model.gradient(codes, n, seen, due)
+    g = seen - due
+    before = model.log10(codes, n).sum() * math.log(10)
+    for f, row, k in [np.unravel_index(i, g.shape) for i in np.argsort(-np.abs(g).ravel())[:5]]:
+        model.weights[f, row, k] += 0.01
+        assert abs((model.log10(codes, n).sum() * math.log(10) - before) / 0.01 - g[f, row, k]) < 0.05 * abs(g[f, row, k]) + 0.05
+        model.weights[f, row, k] -= 0.01
+
+
+def test_it_learns_what_follows_what(spark):
+    r = random.Random(4)
+    after = {w: r.choice("abcdefghijklmnop") + "ing" for w in (f"w{i}" for i in range(20))}
+    rows = [(d, " ".join(x for w in r.choices(list(after), k=60) for x in (w, after[w]))) for d in range(400)]
+    got = maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got.s / got.n > got.b / got.n + 0.2
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_no_row_is_lost_where_blocks_span_files(spark, most):
+    rows = corpus(3)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+    try:
+        got = maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), block_bytes=8000).select("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(d) for d, _ in rows)
 
 
 def test_nothing(spark):
     assert maxent.score_documents(spark.createDataFrame([], DOCS)).collect() == []
-    only = spark.createDataFrame([(2, "x", 0.0, 0, "")], DOCS)
-    assert maxent.score_documents(only).count() == 1
+    only = spark.createDataFrame([(d, "a b") for d in range(200) if held_out(d)], "doc_id long, text string")
+    assert {(x.train_tokens, x.n_known) for x in maxent.score_documents(only).collect()} == {(0, 0)}
+
+
+def test_words_are_split_and_lowered_as_bytes():
+    texts = ["A\x1cb  Cé D\nÀ", "", " \t", "x" * 5000]
+    keys, index, n = maxent.tokens(pa.array([t.encode() for t in texts]).slice(0))
+    want = [w for t in texts for w in [*words_of(t), None]]
+    assert n.tolist() == [len(words_of(t)) + 1 for t in texts]
+    assert [int(keys[i]) for i in index] == [0 if w is None else int(maxent.word_keys([w])[0]) for w in want]
