@@ -19,9 +19,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the rules find, sorted."""
     out = [(a, 0, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -91,6 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _TRIGGER = re.compile(r"[0-9@]|\[at\]|\(at\)")
 _MASKS = ("[at]", "(at)")
+_DIGIT, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+")
 _WHITE = re.compile(r"\s")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 _SHAPES = {
@@ -133,20 +135,22 @@ def _shape_features(shape: str) -> tuple[int, ...]:
 
 
 class Run:
-    """Words with a trigger, their tokens and the candidate segments (first token, last token + 1, features)."""
+    """Words with a trigger, and their tokens."""
 
     def __init__(self, text: str, start: int, end: int):
-        self.tokens = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
-        before = text[max(0, start - 40) : start]
-        words = [w.strip(".,:;()").lower() for w in before.split()[-3:]]
-        context = [_AT[f"cue_{k}"] for k, cues in _CUES.items() if any(w in cues for w in words)]
-        self.segments: list[tuple[int, int, tuple[int, ...]]] = []
-        n = len(self.tokens)
-        for i, (a, _) in enumerate(self.tokens):
+        self.text = text
+        self.tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
+        words = [w.strip(".,:;()").lower() for w in text[max(0, start - 40) : start].split()[-3:]]
+        self.context = [_AT[f"cue_{k}"] for k, cues in _CUES.items() if any(w in cues for w in words)]
+
+    def candidates(self) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """Segments that may be entities (first token, last token + 1, features), by their first token."""
+        text, tokens, n = self.text, self.tokens, len(self.tokens)
+        for i, (a, _) in enumerate(tokens):
             if (a and text[a - 1].isalnum()) or not (text[a].isalnum() or text[a] in "+("):
                 continue
             for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-                b = self.tokens[j - 1][1]
+                b = tokens[j - 1][1]
                 if b - a > MAX_CHARS:
                     break
                 if not (text[b - 1].isalnum() or text[b - 1] in ")]") or (b < len(text) and text[b].isalnum()):
@@ -154,8 +158,8 @@ class Run:
                 span = text[a:b]
                 if not _TRIGGER.search(span):
                     continue
-                shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", span))
-                features = [*_shape_features(shape), *context]
+                shape = _LETTERS.sub("a", _DIGIT.sub("9", span))
+                features = [*_shape_features(shape), *self.context]
                 digits = span.translate(_DIGITS)
                 if 14 <= len(digits) <= 19 and digits.isascii() and digits.isdigit() and luhn(digits):
                     features.append(_AT["check"])
@@ -163,7 +167,11 @@ class Run:
                     features.append(_AT["octets"])
                 if text[max(0, a - 3) : a].rstrip()[-1:] in ("$", "€", "£") and a:
                     features.append(_AT["money"])
-                self.segments.append((i, j, tuple(features)))
+                yield i, j, tuple(features)
+
+    @cached_property
+    def segments(self) -> list[tuple[int, int, tuple[int, ...]]]:
+        return list(self.candidates())
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """A row per segment, a column per kind."""
@@ -199,28 +207,49 @@ def runs(text: str) -> Iterator[Run]:
         found = _TRIGGER.search(text, stop)
 
 
-def decode(run: Run, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the best segmentation's entities."""
-    if not run.segments:
-        return []
-    scores = run.scores(weights)
-    ending: dict[int, list[tuple[int, int, float]]] = {}
-    for (i, j, _), row in zip(run.segments, scores, strict=True):
-        kind = int(row.argmax())
-        if row[kind] > 0:  # outside scores 0
-            ending.setdefault(j, []).append((i, kind, float(row[kind])))
-    if not ending:
-        return []
+class Scores:
+    """The best kind of a segment and its score (outside scores 0), remembered by its features."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.known = weights, {}
+
+    def best(self, features: tuple[int, ...]) -> tuple[int, float]:
+        found = self.known.get(features)
+        if found is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            row = self.weights[:, list(features)].sum(axis=1)
+            kind = int(row.argmax())
+            found = self.known[features] = kind, float(row[kind])
+        return found
+
+
+def decode(run: Run, scores: Scores) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best segmentation's entities. Segments are looked at once, by their start, and not kept;
+    of two equal segmentations the one whose last entity ends first, then starts first, is taken."""
     n = len(run.tokens)
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, kind, score in ending.get(j, ()):
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, kind)
+    best, back = array("d", bytes(8 * (n + 1))), {}
+    now = 0
+    for i, j, features in run.candidates():
+        kind, score = scores.best(features)
+        if score <= 0:
+            continue
+        while now < i:  # what ends at a token is known once its segments are behind
+            now += 1
+            if best[now - 1] >= best[now]:
+                best[now] = best[now - 1]
+                back.pop(now, None)
+        if best[i] + score > best[j]:
+            best[j] = best[i] + score
+            back[j] = i, kind
+    while now < n:
+        now += 1
+        if best[now - 1] >= best[now]:
+            best[now] = best[now - 1]
+            back.pop(now, None)
     out, j = [], n
     while j:
-        if back[j]:
+        if j in back:
             i, kind = back[j]
             out.append((run.tokens[i][0], kind, run.tokens[j - 1][1]))
             j = i
@@ -324,12 +353,12 @@ def trained() -> np.ndarray:
     return weights
 
 
-def spans_of(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str, scores: Scores) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """What the rules find, and all spans: both (start, kind, end), sorted."""
     base = base_spans(text)
     if not base and not _TRIGGER.search(text):
         return base, base
-    more = [s for run in runs(text) for s in decode(run, weights)]
+    more = [s for run in runs(text) for s in decode(run, scores)]
     if not more:
         return base, base
     if not base:
@@ -351,10 +380,11 @@ def _finder(weights: np.ndarray):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(weights)
         for batch in small(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                base, every = spans_of(text, weights)
+                base, every = spans_of(text, scores)
                 n = [0] * len(BASE_KINDS)
                 for _, k, _ in base:
                     n[k] += 1
@@ -389,8 +419,9 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _redactor(weights: np.ndarray, column: str, count: str | None):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(weights)
         for batch in small(batches):
-            texts = [t if t is None else redact(t, spans_of(t, weights)[1]) for t in batch.column(column).to_pylist()]
+            texts = [t if t is None else redact(t, spans_of(t, scores)[1]) for t in batch.column(column).to_pylist()]
             names = batch.schema.names
             batch = batch.set_column(names.index(column), column, pa.array(texts, batch.schema.field(column).type))
             if count:

@@ -55,7 +55,7 @@ def test_best_segmentation_against_all():
             scores = run.scores(weights)
             totals = every(run, scores, 0)
             at = {(run.tokens[i][0], run.tokens[j - 1][1]): s for s, (i, j, _) in enumerate(run.segments)}
-            got = sum(scores[at[a, b]][k] for a, k, b in pii.decode(run, weights))
+            got = sum(scores[at[a, b]][k] for a, k, b in pii.decode(run, pii.Scores(weights)))
             assert abs(got - max(totals)) < 1e-9
             import numpy as np
 
@@ -78,8 +78,8 @@ def test_gradient_by_differences():
 
 def test_held_out_lines():
     weights = pii.trained()
-    lines = pii.synthetic(1200, 99)
-    right = sum(sorted(x for r in pii.runs(t) for x in pii.decode(r, weights)) == sorted(s) for t, s in lines)
+    lines, scores = pii.synthetic(1200, 99), pii.Scores(weights)
+    right = sum(sorted(x for r in pii.runs(t) for x in pii.decode(r, scores)) == sorted(s) for t, s in lines)
     assert right >= 0.95 * len(lines)
 
 
@@ -93,3 +93,25 @@ def test_documents(spark):
     assert pii.find_pii(spark.createDataFrame([], DOCS)).collect() == []
     docs = spark.createDataFrame([(1, rows[0][1], "s", 0), (2, None, "t", 1)], DOCS)
     assert [x.text for x in pii.redacted(docs).collect()] == ["write to [EMAIL] or [PHONE] [CARD].", None]
+
+
+def test_long_runs_of_digits():
+    scores = pii.Scores(pii.trained())
+    assert pii.base_spans("x " + "0" * 5000 + ".1.2.3") == [(2, 1, 5008)]
+    assert pii.base_spans("x " + "9" * 5000 + ".1.2.3 " + "0" * 6000) == []
+    for text in ("x " + "0" * 5000 + ".1.2.3", "9" * 5000 + ".1.2.3", "1." * 4000, "7" * 20_000):
+        base, every = pii.spans_of(text, scores)
+        assert set(base) <= set(every)
+
+
+def test_a_text_of_numbers_takes_linear_time():
+    import time
+
+    r, scores = random.Random(5), pii.Scores(pii.trained())
+    text = " ".join(str(r.randrange(10 ** r.randint(1, 9))) for _ in range(8_000))
+    taken = []
+    for n in (len(text) // 4, len(text)):
+        start = time.process_time()
+        pii.spans_of(text[:n], scores)
+        taken.append(time.process_time() - start)
+    assert taken[1] < 8 * taken[0] + 1

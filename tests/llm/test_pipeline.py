@@ -99,7 +99,7 @@ def test_stages_against_brute_force(spark):
     assert len(clean) == len(cut)
     for x in cut:
         spans = base_spans(x[1])
-        assert set(spans) <= set(pii.spans_of(x[1], pii.trained())[1])
+        assert set(spans) <= set(pii.spans_of(x[1], pii.Scores(pii.trained()))[1])
         assert not base_spans(by_id[x[0]][1])
         if not spans and not re.search("[0-9@]", x[1]):
             assert tuple(by_id[x[0]]) == tuple(x)
