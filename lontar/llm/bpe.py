@@ -1,14 +1,15 @@
 """Byte-level BPE by recursive queries in DuckDB, one database per worker.
 
-Texts are split by the vocabulary's pattern. A worker's new pieces become rows (piece, position, token), one per byte.
-Each round of the recursion joins every pair of neighbours to the merge table and contracts the pair of least rank, from
-the left, in every piece; a piece without a pair that merges is finished. Tokens are decoded by joining them to the
-vocabulary and aggregating the bytes in order of position. Results are kept by piece, in a bounded cache.
+Texts are split by the vocabulary's pattern. A worker's new pieces become rows (word, position, token), one per byte. Each
+round of the recursion joins every pair of neighbours to the merge table and contracts each word's pairs of least rank
+from the left: all of them at once, in a run of equal tokens every other one, which gives the same as one after the other,
+as a token made in a round can't make a pair of lower rank (every token of the vocabulary is what its own bytes encode
+to; a test goes through all of them). A word without a pair that merges is finished. Tokens are decoded by joining them to
+the vocabulary and aggregating the bytes in order of position. Results are kept by piece, in a bounded cache.
 
-Pieces of over LONG bytes use a query that contracts all of a piece's pairs of the least rank in a round, within runs
-every other one from the left, so that a hundred thousand equal characters take some ten rounds. This gives the same
-tokens: one made in a round can't make a pair of lower rank, as every token of the vocabulary is what its own bytes
-encode to (a test goes through all of them).
+A word is a piece, or a part of one: pieces are cut between two bytes that stand side by side in no token, as no merge can
+ever reach across. So the number of rounds follows the longest stretch without such a place, not a piece's length, and a
+hundred thousand equal characters take some ten rounds.
 
 Null and empty texts have no ids and decode to nothing; repeated rows give repeated results; null ids stay null; an
 empty table gives an empty result; other columns play no part. Special strings in texts are ordinary text.
@@ -33,40 +34,29 @@ from .pieces import FIRST, Encoder
 from .shared import read_table, small
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pieces of one recursive query, by bytes; the length from which a piece counts as long; what a worker remembers.
-QUERY_BYTES, LONG, REMEMBERED = 1_200_000, 200, 2_000_000
+#: Pieces of one recursive query, by bytes; what a worker remembers.
+QUERY_BYTES, REMEMBERED = 1_200_000, 2_000_000
 #: Bytes of text that are worked on together.
 NUMBERED = 16 << 20
 
-#: Rows are linked by nxt. A round finds each piece's leftmost pair of least rank and contracts it.
-_SHORT = """
-  SELECT p.word, p.pos, CASE WHEN p.pos = q.at THEN q.rank ELSE p.tok END, CASE WHEN p.pos = q.at THEN q.after ELSE p.nxt END, q.rank IS NULL
-  FROM step p JOIN (
-    SELECT a.word, min(m.id::BIGINT * 4294967296 + a.pos) AS least, (least >> 32)::INT AS rank, (least & 4294967295)::INT AS at,
-      arg_min(a.nxt, m.id::BIGINT * 4294967296 + a.pos) AS gone, arg_min(b.nxt, m.id::BIGINT * 4294967296 + a.pos) AS after
-    FROM step a LEFT JOIN step b ON b.pos = a.nxt AND NOT b.done LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 1048576 + b.tok
-    WHERE NOT a.done GROUP BY a.word) q ON q.word = p.word
-  WHERE NOT p.done AND p.pos IS DISTINCT FROM q.gone"""
-#: All pairs of least rank at once: of a run of them every other one, from the left.
-_LONG = """
-  SELECT word, pos, CASE WHEN now THEN rank ELSE tok END, nxt, best IS NULL
-  FROM (
-    SELECT *, lag(now) OVER (PARTITION BY word ORDER BY pos) AS gone
-    FROM (
-      SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 AS now
-      FROM (
-        SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run
-        FROM (
-          SELECT *, coalesce(rank = best, false) AS hit
-          FROM (
-            SELECT p.word, p.pos, p.tok, p.nxt, m.id AS rank, min(m.id) OVER (PARTITION BY p.word) AS best
-            FROM (SELECT word, pos, tok, nxt, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM step WHERE NOT done) p
-            LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.following)))))
-  WHERE NOT coalesce(gone, false)"""
+#: Rows are linked by nxt. Each round: the pairs that merge, the least rank of each word, its pairs of that rank, and of those
+#: in a run of equal tokens (where they overlap) every other one from the left.
 _QUERY = """
-WITH RECURSIVE step(word, pos, tok, nxt, done) AS (SELECT word, pos, tok, nxt, false FROM start UNION ALL {round})
-SELECT word, count(*) AS n, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM step JOIN vocab ON vocab.id = tok WHERE done GROUP BY word ORDER BY word
+WITH RECURSIVE step(word, pos, tok, nxt, done) AS (SELECT word, pos, tok, nxt, false FROM start UNION ALL
+  (WITH pairs AS MATERIALIZED (
+    SELECT a.word, a.pos, a.tok AS l, b.tok AS r, a.nxt AS gone, b.nxt AS after, m.id AS rank
+    FROM step a JOIN step b ON b.pos = a.nxt JOIN merges m ON m.pair = a.tok::BIGINT * 1048576 + b.tok WHERE NOT a.done AND NOT b.done),
+  least AS MATERIALIZED (SELECT word, min(rank) AS rank FROM pairs GROUP BY word),
+  hit AS MATERIALIZED (SELECT pairs.* FROM pairs JOIN least ON pairs.word = least.word AND pairs.rank = least.rank),
+  equal AS (SELECT *, sum(first::INT) OVER (ORDER BY pos) AS run FROM (SELECT *, lag(gone, 1, -1) OVER (ORDER BY pos) IS DISTINCT FROM pos AS first FROM hit WHERE l = r)),
+  chosen AS MATERIALIZED (
+    SELECT pos, gone, after, rank FROM hit WHERE l <> r
+    UNION ALL SELECT pos, gone, after, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) AS k FROM equal) WHERE k % 2 = 1)
+  SELECT p.word, p.pos, coalesce(c.rank, p.tok), CASE WHEN c.pos IS NULL THEN p.nxt ELSE c.after END, w.word IS NULL
+  FROM step p LEFT JOIN chosen c ON c.pos = p.pos LEFT JOIN least w ON w.word = p.word
+  WHERE NOT p.done AND NOT EXISTS (SELECT 1 FROM chosen g WHERE g.gone = p.pos)))
+SELECT piece, count(*) AS n, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
+FROM step JOIN vocab ON vocab.id = tok JOIN parts ON parts.part = word WHERE done GROUP BY piece ORDER BY piece
 """
 
 
@@ -96,6 +86,11 @@ class Bpe(Encoder):
                 if left is not None and right is not None:
                     pair.append(left * 1048576 + right)
                     made.append(rank)
+        raw = np.frombuffer(b"".join(self.ranks), np.uint8).astype(np.int64)
+        inside = np.ones(len(raw), bool)
+        inside[np.cumsum(np.fromiter(map(len, self.ranks), np.int64, len(self.ranks))) - 1] = False
+        self.side_by_side = np.zeros(1 << 16, bool)
+        self.side_by_side[(raw[:-1] * 256 + raw[1:])[inside[:-1]]] = True
         self._table("merges", pair=pa.array(pair, pa.int64()), id=pa.array(made, pa.int32()))
         self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), hex=[t.hex() for t in self.ranks])
 
@@ -104,33 +99,34 @@ class Bpe(Encoder):
         self.db.execute(f"CREATE TABLE {name} AS FROM given")
         self.db.unregister("given")
 
-    def _query(self, pieces: list[bytes], round_: str) -> None:
-        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
-        n = np.array([len(p) if w < 0 else 1 for p, w in zip(pieces, whole, strict=True)], np.int64)
-        word = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
-        pos = np.arange(len(word), dtype=np.int32)
-        nxt = pos + 1
-        nxt[np.cumsum(n) - 1] = -1
-        tok = np.repeat(whole, n).astype(np.int32)
-        tok[tok < 0] = self.byte[np.frombuffer(b"".join(p for p, w in zip(pieces, whole, strict=True) if w < 0), np.uint8)]
-        self.db.register("start", pa.table({"word": word, "pos": pos, "tok": tok, "nxt": nxt}))
-        found = self.db.execute(_QUERY.format(round=round_)).fetchall()
+    def _query(self, pieces: list[bytes]) -> None:
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        last = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) - 1
+        end = np.ones(len(raw), bool)  # of a word
+        end[:-1] = ~self.side_by_side[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+        end[last] = True
+        pos = np.arange(len(raw), dtype=np.int32)
+        ends = np.flatnonzero(end)
+        word = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))
+        self.db.register("start", pa.table({"word": word, "pos": pos, "tok": self.byte[raw], "nxt": np.where(end, -1, pos + 1).astype(np.int32)}))
+        self.db.register("parts", pa.table({"part": np.arange(len(ends), dtype=np.int32), "piece": np.searchsorted(last, ends).astype(np.int32)}))
+        found = self.db.execute(_QUERY).fetchall()
         self.db.unregister("start")
+        self.db.unregister("parts")
         for i, count, ids, hex_ in found:
             piece, decoded = pieces[i], bytes.fromhex(hex_)
             self.pieces[piece] = count, ids.encode(), piece if decoded == piece else decoded  # one copy in memory
 
     def _encode_pieces(self, new: list[bytes]) -> None:
-        for round_, some in ((_SHORT, [p for p in new if len(p) <= LONG]), (_LONG, [p for p in new if len(p) > LONG])):
-            group, size = [], 0
-            for piece in some:
-                group.append(piece)
-                size += len(piece)
-                if size >= QUERY_BYTES:
-                    self._query(group, round_)
-                    group, size = [], 0
-            if group:
-                self._query(group, round_)
+        group, size = [], 0
+        for piece in new:
+            group.append(piece)
+            size += len(piece)
+            if size >= QUERY_BYTES:
+                self._query(group)
+                group, size = [], 0
+        if group:
+            self._query(group)
 
     def _looked_up(self, texts: list[str]) -> list[tuple]:
         lists = [[p.encode() for p in self.split(t)] for t in texts]
