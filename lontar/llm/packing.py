@@ -1,10 +1,13 @@
 """Harmonic packing of documents into sequences of a fixed capacity.
 
-A document's tokens (its ids and an end token) are cut into pieces of reciprocal-capacity sizes: whole capacities, then
-halves, quarters and so on down to MIN_PIECE, then a rest. A piece of length n belongs to class j = capacity // n, and
-a bin of class j takes exactly j pieces, whatever else arrives: each worker fills the bins of its own rows with no
-knowledge of others and no shuffle. What is left in unfinished bins when a worker's rows end is strung together and cut
-at the capacity; the last of it is cut into powers of two, which need no padding. So only bins of rests are padded.
+A document's length (its ids and an end token; of a longer document what whole capacities leave) puts it into a
+reciprocal-capacity class: class j = capacity // length, and a bin of class j takes exactly j documents of it, whatever
+else arrives. Each worker fills the bins of its own rows with no knowledge of others and no shuffle. What a full bin
+leaves free waits to be filled: documents that have no class (shorter than ``least``), and, as soon as it fits the room
+that waits, the document at hand, are cut into pieces for the waiting bins; so most documents stay whole and sequences are
+still full. Room of less than ``least`` tokens isn't worth a cut and stays padding. When a worker's rows end, documents in
+bins that are not full fill the waiting room, and what is left is strung together and cut at the capacity, the last of it
+into powers of two, which need no padding.
 
 Null texts are empty documents: one end token. Repeated rows are packed each for itself. An empty table gives no piece.
 """
@@ -12,6 +15,7 @@ Null texts are empty documents: one end token. Repeated rows are packed each for
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,31 +29,20 @@ from .pieces import encoder
 from .shared import read_table, small
 
 CAPACITY = 2048
-MIN_PIECE = 64
+MIN_PIECE = 32
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def sizes(n: int, capacity: int = CAPACITY, least: int = MIN_PIECE) -> list[int]:
-    """The lengths of a document's pieces, in order."""
-    out = [capacity] * (n // capacity)
-    n %= capacity
-    half = capacity // 2
-    while half >= least:
-        if n >= half:
-            out.append(half)
-            n -= half
-        half //= 2
-    return [*out, n] if n else out
-
-
 class Packer:
-    """Bins of one worker. rows: finished pieces, as in SCHEMA."""
+    """Bins of one worker. rows: finished pieces, as in SCHEMA. A piece is (doc_id, start, ids, doc_tokens)."""
 
     def __init__(self, first: int, capacity: int = CAPACITY, least: int = MIN_PIECE):
         self.next, self.capacity, self.least = first, capacity, least
-        self.open: dict[int, list[tuple]] = {}  # class: pieces (doc_id, start, ids, doc_tokens), fewer than the class takes
+        self.open: dict[int, list[tuple]] = {}  # class: documents, fewer than the class takes
+        self.waiting: deque[tuple[list[tuple], int]] = deque()  # full bins and the room they leave
+        self.room = 0
         self.rows: list[tuple] = []
 
     def close(self, pieces: list[tuple]) -> None:
@@ -60,24 +53,64 @@ class Packer:
             offset += n
         self.next += 1
 
+    def full(self, pieces: list[tuple]) -> None:
+        room = self.capacity - sum(len(p[2]) for p in pieces) // 4
+        if room < max(1, self.least):
+            self.close(pieces)
+        else:
+            self.waiting.append((pieces, room))
+            self.room += room
+
+    def fill(self, piece: tuple) -> None:
+        """Cut a piece over the waiting room, which must be enough for it."""
+        doc_id, start, ids, total = piece
+        while ids:
+            bin_, room = self.waiting.popleft()
+            n = min(room, len(ids) // 4)
+            bin_.append((doc_id, start, ids[: 4 * n], total))
+            self.room -= n
+            start, ids, room = start + n, ids[4 * n :], room - n
+            if room < max(1, self.least):
+                self.room -= room
+                self.close(bin_)
+            else:
+                self.waiting.appendleft((bin_, room))
+
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total, start = len(ids) // 4, 0
-        for n in sizes(total, self.capacity, self.least):
-            piece = (doc_id, start, ids[4 * start : 4 * (start + n)], total)
-            start += n
-            j = self.capacity // n
-            if j == 1:
-                self.close([piece])
-                continue
-            bin_ = self.open.setdefault(j, [])
-            bin_.append(piece)
-            if len(bin_) == j:
-                self.close(bin_)
-                del self.open[j]
+        while total - start >= self.capacity:
+            self.close([(doc_id, start, ids[4 * start : 4 * (start + self.capacity)], total)])
+            start += self.capacity
+        n = total - start
+        if not n:
+            return
+        piece = (doc_id, start, ids[4 * start :], total)
+        j = self.capacity // n
+        # Room below `least` may be left in each bin that the piece ends, so a little more than its length must wait.
+        if n + self.least <= self.room:
+            self.fill(piece)
+            return
+        if n < self.least:
+            j = 0  # documents without a class: kept until room waits or the rows end
+        bin_ = self.open.setdefault(j, [])
+        bin_.append(piece)
+        if j and len(bin_) == j:
+            del self.open[j]
+            self.full(bin_)
+        elif not j and len(bin_) == self.capacity // self.least:
+            del self.open[j]
+            self.full(bin_)
 
     def finish(self) -> None:
         left = [p for _, bin_ in sorted(self.open.items()) for p in bin_]
         self.open.clear()
+        while left and len(left[-1][2]) // 4 + self.least <= self.room:
+            self.fill(left.pop())
+        # What waits with much room is strung together with the rest.
+        for bin_, _ in self.waiting:
+            left += bin_
+        self.waiting.clear()
+        self.room = 0
         room, pieces, rest = 0, [], sum(len(p[2]) // 4 for p in left)
         for doc_id, start, ids, total in left:
             while ids:
@@ -113,9 +146,10 @@ def _packed(path: str, capacity: int, least: int):
 
 
 def harmonic_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = MIN_PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of all documents, with their sequences. capacity and least must be powers of two."""
-    if capacity & (capacity - 1) or least & (least - 1) or not 0 < least <= capacity:
-        raise ValueError("capacity and least must be powers of two")
+    """The pieces of all documents, with their sequences. capacity must be a power of two; least is the shortest document
+    with a class of its own, and the least room that a document is cut for."""
+    if capacity & (capacity - 1) or not 0 < least <= capacity:
+        raise ValueError("capacity must be a power of two, and least between 1 and it")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return narrow.mapInArrow(_packed(tokenizer, capacity, least), SCHEMA)
 
