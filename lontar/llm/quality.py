@@ -89,12 +89,23 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return narrow.mapInArrow(_measured, "doc_id long, host string, " + ", ".join(f"{c} long" for c in FEATURES))
 
 
+def beta_prior(k: int, n: float, n2: float, x: float, q: float) -> tuple[float, float]:
+    """Mean and strength from the hosts' number, documents, their squares, failures, and failures' squares by documents."""
+    m = x / n if n else 0.0
+    free = n - n2 / n - (k - 1) if n else 0.0
+    c = ((q - n * m * m) / (m * (1 - m)) - (k - 1)) / free if free > 0 and 0 < m < 1 else 0.0
+    return m, 1 / min(max(c, 1e-6), 0.99) - 1
+
+
 def host_verdicts(features: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:
     """Per host: documents, failures and shrunk rate of each rule, and whether it is refused.
 
-    The beta prior of a rule is fitted by moments over the hosts, each weighted alike: with mean m and variance v of
-    the hosts' raw rates its strength is m (1 - m) / v - 1, held between 1 and 1e6 (one host, or rates that don't
-    differ, have no variance and take the upper end). It is one row, whatever the number of hosts.
+    A host's failures are taken as beta-binomial, and a rule's prior is fitted to all hosts by moments that are weighted by
+    their documents: with k hosts of n_i documents, N in all, and mean rate m, the sum S of n_i (rate - m)^2 is expected to be
+    m (1 - m) (k - 1 + c (N - sum n_i^2 / N - k + 1)), where c is the correlation of a host's documents. What small hosts
+    differ by chance is thus not taken for a difference between hosts. The prior's strength is 1 / c - 1, with c held
+    between 1e-6 and 0.99 (the lower end too where nothing tells, as with one document a host). It is one row, whatever the
+    number of hosts.
     """
     rates = rates or HOST_RATES
     rules = _rules()
@@ -103,13 +114,12 @@ def host_verdicts(features: DataFrame, rates: dict[str, float] | None = None) ->
         .groupBy("host")
         .agg(F.count("*").alias("n_docs"), *[F.sum(rules[r].cast("long")).alias(f"{r}_failed") for r in rates])
     )
-    raw = {r: F.col(f"{r}_failed") / F.col("n_docs") for r in rates}
     hosts = stored(hosts, "hosts")
-    moments = hosts.agg(*[x for r in rates for x in (F.avg(raw[r]).alias(f"{r}_m"), F.var_pop(raw[r]).alias(f"{r}_v"))]).first()  # two figures a rule
+    n, x = F.col("n_docs").cast("double"), {r: F.col(f"{r}_failed").cast("double") for r in rates}
+    moments = hosts.agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("n2"), *[y for r in rates for y in (F.sum(x[r]).alias(f"{r}_x"), F.sum(x[r] * x[r] / n).alias(f"{r}_q"))]).first()
     out, refused = hosts, F.lit(False)
     for r, most in rates.items():
-        m, v = moments[f"{r}_m"] or 0.0, moments[f"{r}_v"] or 0.0
-        strength = 1e6 if v <= 0 else min(max(m * (1 - m) / v - 1, 1.0), 1e6)
+        m, strength = beta_prior(moments["k"], moments["n"] or 0.0, moments["n2"] or 0.0, moments[f"{r}_x"] or 0.0, moments[f"{r}_q"] or 0.0)
         out = out.withColumn(f"{r}_rate", (F.col(f"{r}_failed") + m * strength) / (F.col("n_docs") + strength))
         refused = refused | (F.col(f"{r}_rate") > most)
     return out.select("host", "n_docs", *[x for r in rates for x in (f"{r}_failed", f"{r}_rate")], refused.alias("host_refused"))
@@ -174,8 +184,10 @@ j AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
   50 * n_dup_lines > greatest(n_words, 1) AS lines_failed FROM f),
 h AS (SELECT source, count(*) AS n, unnest([1, 2, 3]) AS rule, unnest([sum(base_failed::INT), sum(symbols_failed::INT), sum(lines_failed::INT)]) AS failed
   FROM j WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v FROM h GROUP BY rule),
-s AS (SELECT rule, m, CASE WHEN v <= 0 THEN 1e6 ELSE least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) END AS strength FROM m),
+m AS (SELECT rule, count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS n2, sum(failed)::DOUBLE AS x, sum(failed::DOUBLE * failed / n) AS q FROM h GROUP BY rule),
+c AS (SELECT rule, x / n AS m, CASE WHEN n - n2 / n - (k - 1) > 0 AND x > 0 AND x < n
+  THEN ((q - x * x / n) / (x / n * (1 - x / n)) - (k - 1)) / (n - n2 / n - (k - 1)) ELSE 0 END AS c FROM m),
+s AS (SELECT rule, m, 1 / least(greatest(c, 1e-6), 0.99) - 1 AS strength FROM c),
 bad AS (SELECT source, bool_or((failed + m * strength) / (n + strength) > 0.5) AS refused FROM h JOIN s ON h.rule = s.rule GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce(refused, false)) AS kept
 FROM j LEFT JOIN bad ON j.source = bad.source

@@ -48,10 +48,12 @@ def verdicts(rows):
             hosts[host].append((n < 50 or 100 * repeated > 50 * n, 10 * symbols > chars, 50 * dup > max(n, 1)))
     refused = set()
     for k in range(3):
-        rates = [sum(x[k] for x in f) / len(f) for f in hosts.values()]
-        m = sum(rates) / len(rates)
-        v = sum((x - m) ** 2 for x in rates) / len(rates)
-        s = 1e6 if v <= 0 else min(max(m * (1 - m) / v - 1, 1.0), 1e6)
+        n, k_hosts = sum(map(len, hosts.values())), len(hosts)
+        m = sum(x[k] for f in hosts.values() for x in f) / n
+        apart = sum(len(f) * (sum(x[k] for x in f) / len(f) - m) ** 2 for f in hosts.values())
+        free = n - sum(len(f) ** 2 for f in hosts.values()) / n - (k_hosts - 1)
+        c = (apart / (m * (1 - m)) - (k_hosts - 1)) / free if 0 < m < 1 and free > 0 else 0
+        s = 1 / min(max(c, 1e-6), 0.99) - 1
         refused |= {h for h, f in hosts.items() if (sum(x[k] for x in f) + m * s) / (len(f) + s) > 0.5}
     return refused
 
@@ -75,6 +77,20 @@ def test_verdicts(spark, limit, monkeypatch):
     assert all(x.host == "clash" and x.kept == 1 for x in kept)
 
 
+def test_chance_in_small_hosts_is_not_taken_for_a_difference(spark):
+    r = random.Random(7)
+    rows = [(i, 10, 0, 0, 0, 0, f"one{i}") if r.random() < 0.4 else (i, 60, 0, 0, 0, 0, f"one{i}") for i in range(2000)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host string")
+    assert quality.host_verdicts(table(rows)).filter("host_refused").count() == 0
+    # A few large hosts that differ: the large ones are judged by themselves, one document says little.
+    for h, rate in enumerate((0.05, 0.1, 0.9, 0.1, 0.05)):
+        rows += [(9000, 10 if r.random() < rate else 60, 0, 0, 0, 0, f"large{h}") for _ in range(300)]
+    refused = {x.host for x in quality.host_verdicts(table(rows)).filter("host_refused").collect()}
+    assert "large2" in refused and not refused & {"large0", "large1", "large3", "large4"}
+    m, s = quality.beta_prior(4, 40.0, 400.0, 20.0, sum(x * x / 10 for x in (1, 9, 2, 8)))
+    assert m == 0.5 and 0.5 < s < 5
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality.quality_rules(empty).collect() == [] and quality.keep_good(empty).collect() == []
