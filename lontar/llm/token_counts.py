@@ -1,8 +1,10 @@
 """Token counts through a digest cache.
 
-A text's content digest (SHA-256 of its UTF-8 bytes, null as empty) and the digest of the tokenizer file identify a
-count. Digests are joined to the counts stored before; of the texts that miss, each distinct one is encoded once, and
-its count is appended to the cache. Appending writes new files only, so tasks that run twice or jobs at the same time
+A text's content digest (SHA-256 of the UTF-8 bytes of its normal form) and the digest of the tokenizer file identify a
+count. The normal form is what the tokenizer's own normaliser makes of the text, so that it keeps the count (the byte-level
+one has none: there it is the text itself, null as empty); a text that holds one of the tokenizer's special strings, in
+any case, is its own normal form, as those are looked for before. Digests are joined to the counts stored before; of the
+texts that miss, each distinct one is encoded once, and its count is appended to the cache. Appending writes new files only, so tasks that run twice or jobs at the same time
 do no harm: equal keys hold equal counts, and readers take one.
 
 Null and empty texts have no tokens; repeated rows give repeated results; null ids stay null; an empty table gives an
@@ -12,7 +14,7 @@ empty result; other columns play no part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import public_tokenizers
@@ -32,6 +34,36 @@ def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def normaliser(path: str) -> Callable[[str], str] | None:
+    """Makes normal forms; None if every text is its own."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return getattr(sentencepiece.SentencePieceProcessor(model_file=path), "normalize", None)
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    if model.normalizer is None:
+        return None
+    special = [t.content.lower() for t in model.get_added_tokens_decoder().values()]
+
+    def normal(text: str) -> str:
+        form = model.normalizer.normalize_str(text)
+        return text if any(x in text.lower() or x in form.lower() for x in special) else form
+
+    return normal
+
+
+def _digester(path: str):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = normaliser(path)
+        for batch in small(batches):
+            digests = [hashlib.sha256(normal(t).encode()).digest() for t in batch.column("content").to_pylist()]
+            yield batch.append_column("digest", pa.array(digests, pa.binary()))
+
+    return digest
+
+
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = encoder(path).counts
@@ -50,16 +82,20 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     """doc_id, n_bytes, n_tokens of every row. tokenizer: a vocabulary file; cache: the cache's folder, made if it isn't there."""
     spark = docs.sparkSession
     content = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.unhex(F.sha2(content, 256))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content"))
+    if normaliser(tokenizer) is None:
+        given = given.withColumn("digest", F.unhex(F.sha2("content", 256)))
+    else:
+        given = given.mapInArrow(_digester(tokenizer), "doc_id long, content string, digest binary")
     at = f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}"
     # The distinct texts: equal ones meet in the map tasks first, so a text that a third of the rows hold is no hot group.
-    distinct = docs.select(digest.alias("digest"), content.alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
+    distinct = given.select("digest", "content").groupBy("digest").agg(F.first("content").alias("content"))
     if _exists(spark, at):
         distinct = distinct.join(spark.read.schema(_SCHEMA).parquet(at).select("digest").distinct(), "digest", "left_anti")
     distinct.mapInArrow(_counter(tokenizer), _SCHEMA).write.mode("append").parquet(at)
     # Stored, so that the join below deals out both of its sides itself and can split a digest that many rows have.
     counts = stored(spark.read.schema(_SCHEMA).parquet(at).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("digest"))
+    narrow = given.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), "digest")
     return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
