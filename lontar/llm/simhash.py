@@ -32,6 +32,8 @@ SHINGLE = 3
 DISTANCE = 2
 #: Fingerprints in a group; children of a node; members under a lowest node; visitors searched at once.
 GROUP, FAN, LEAF, VISITORS = 1 << 17, 8, 16, 1024
+#: Groups at most (their shared bits are sent to all tasks, 24 bytes each); beyond it, groups are larger.
+MAX_GROUPS = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -135,10 +137,11 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _router(sent, most: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Index(*sent.value, leaf=FAN)
+        mask, value, numbers = sent.value
+        tree = Index(mask, value, leaf=FAN)
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            own = batch.column("grp").to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.searchsorted(numbers, batch.column("grp").to_numpy(zero_copy_only=False))  # empty ranges have no number
             for at in range(0, len(fp), VISITORS):
                 q, g = tree.search(fp[at : at + VISITORS], most, own[at : at + VISITORS])
                 visitor = g != own[at + q]
@@ -206,19 +209,16 @@ def near_links(distinct: DataFrame, most: int = DISTANCE, group: int = GROUP) ->
     """u, v: stars that connect exactly what the links between the distinct fingerprints (fp) connect."""
     spark = distinct.sparkSession
     n = distinct.count()
-    dealt = distinct.withColumn("_rank", gray_rank("fp")).repartitionByRange(max(1, -(-n // group)), "_rank")
+    groups = min(MAX_GROUPS, max(1, -(-n // group)))
+    dealt = distinct.withColumn("_rank", gray_rank("fp")).repartitionByRange(groups, "_rank")
     grouped = stored(dealt.select("fp", F.spark_partition_id().alias("grp"), "_rank"), "gray")
-    # One row per group of up to some 131,072 fingerprints: their shared bits, by place in Gray order.
+    # One row per group, MAX_GROUPS at most: their shared bits, by place in Gray order.
     rows = grouped.groupBy("grp").agg(F.bit_and("fp").alias("one"), F.bit_or("fp").alias("some"), F.min("_rank").alias("r")).orderBy("r").collect()
     one, some = (np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in ("one", "some"))
     numbers = [r.grp for r in rows]
     if numbers != sorted(numbers):
         raise RuntimeError("groups are not in Gray order")
-    place = {g: i for i, g in enumerate(numbers)}
-    if len(place) and numbers[-1] != len(numbers) - 1:  # empty ranges: number the groups anew
-        renumber = F.create_map(*[F.lit(x) for g, i in place.items() for x in (g, i)])
-        grouped = grouped.withColumn("grp", renumber[F.col("grp")])
-    sent = spark.sparkContext.broadcast((one | ~some, one))
+    sent = spark.sparkContext.broadcast((one | ~some, one, np.array(numbers, np.int64)))
     routed = grouped.select("fp", "grp").mapInArrow(_router(sent, most), "grp int, visitor boolean, fp long")
     return routed.repartition("grp").sortWithinPartitions("grp", "visitor").mapInArrow(_searcher(most), "u long, v long")
 
