@@ -12,18 +12,20 @@ from .. import vocab
 SEED = 42
 
 
-def map_output(sentences: DataFrame) -> DataFrame:
-    """Corpus rows; missing values are empty strings."""
+def map_output_columns(sentences: DataFrame) -> list[Column]:
     names = {"Label": "religion", "Denomination": "source", "Location": "region", "Date": None, "Title": None, "Sentence_Unit": "sentence", "Link": "url"}
     have = set(sentences.columns)
-    return sentences.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(n) for n, c in names.items()])
+    return [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(n) for n, c in names.items()]
+
+
+def map_output(sentences: DataFrame) -> DataFrame:
+    """Corpus rows; missing values are empty strings."""
+    return sentences.select(*map_output_columns(sentences))
 
 
 def map_rejected(sentences: DataFrame) -> DataFrame:
     """Corpus rows with the detected language, ``unknown`` where there is none."""
-    rows = map_output(sentences.withColumn("url", F.struct("url", F.coalesce("detected_lang", F.lit("unknown")).alias("l")).cast("string")))
-    pair = F.col("Link")
-    return rows.withColumn("Detected_Language", F.regexp_extract(pair, r"(?s), ([^,]*)\}$", 1)).withColumn("Link", F.regexp_extract(pair, r"(?s)^\{(.*), [^,]*\}$", 1))
+    return sentences.select(*map_output_columns(sentences), F.coalesce(F.col("detected_lang").cast("string"), F.lit("unknown")).alias("Detected_Language"))
 
 
 def combine(parts: list[DataFrame]) -> DataFrame:
@@ -79,9 +81,14 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: list)
 
 def weighted_prf(confusion: DataFrame) -> DataFrame:
     """accuracy, precision, recall, f1 of a confusion matrix, weighted by the classes' true counts; undefined ones are 0."""
-    true = confusion.groupBy(F.col("label").alias("c")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
-    made = confusion.groupBy(F.col("prediction").alias("c")).agg(F.sum("n").alias("predicted"))
-    per = true.join(made, "c", "left").select(
+    # Each cell counts for its label and for its prediction, so the matrix is made once.
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    sides = F.array(
+        F.struct(F.col("label").alias("c"), F.col("n").alias("support"), hit.alias("hit"), F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("hit"), F.col("n").alias("predicted")),
+    )
+    classes = confusion.select(F.explode(sides).alias("s")).groupBy("s.c").agg(*[F.sum(f"s.{x}").alias(x) for x in ("support", "hit", "predicted")])
+    per = classes.select(
         "support", "hit", F.when(F.col("predicted") > 0, F.col("hit") / F.col("predicted")).otherwise(0.0).alias("p"), F.when(F.col("support") > 0, F.col("hit") / F.col("support")).otherwise(0.0).alias("r")
     )
     per = per.withColumn("f", F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0))

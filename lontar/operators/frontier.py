@@ -50,14 +50,14 @@ def expand(tasks: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
 def crawl(tasks: DataFrame, links: DataFrame, levels: int = vocab.MAX_DEPTH) -> DataFrame:
     """url, depth: every page reachable from the tasks with the least depth, level by level.
 
-    Each level is checkpointed, so that the plan doesn't grow with the depth."""
+    Each level is checkpointed, so that nothing is done twice; what has been seen is the levels together, never written again."""
     seen = level = tasks.select("url", F.lit(0).alias("depth")).distinct()
     for depth in range(1, levels + 1):
         level = unvisited(level.join(links, "url").select(F.col("link").alias("url")).distinct(), seen).withColumn("depth", F.lit(depth))
         level = level.checkpoint()
         if level.isEmpty():
             break
-        seen = seen.union(level).checkpoint()
+        seen = seen.union(level)
     return seen
 
 
@@ -82,8 +82,16 @@ def domain_cap(pages: DataFrame, order: str, cap: int = vocab.DOMAIN_CAP, domain
 
 
 def round_robin(tasks: DataFrame, order: str, domain: str = "domain") -> DataFrame:
-    """turn: in which round a task's domain, which serves its tasks in order, comes to it."""
-    return tasks.withColumn("turn", F.row_number().over(Window.partitionBy(domain).orderBy(order)))
+    """turn: in which round a task's domain, which serves its tasks in order, comes to it.
+
+    Tasks are dealt by ranges of domain and order; a turn is what a domain has in lower ranges plus the place within one. So a
+    large domain isn't sorted in one task: what is gathered by domain is a count for each range."""
+    dealt = tasks.repartitionByRange(domain, order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy(F.col(domain).alias("_domain"), F.col("_range").alias("_r")).agg(F.count("*").alias("_k"))
+    before = counts.select("_domain", "_r", (F.sum("_k").over(Window.partitionBy("_domain").orderBy("_r")) - F.col("_k")).alias("_before"))
+    joined = dealt.join(before, dealt[domain].eqNullSafe(before["_domain"]) & (dealt["_range"] == before["_r"]))
+    within = F.row_number().over(Window.partitionBy("_domain", "_r").orderBy(order))
+    return joined.select(*tasks.columns, (F.col("_before") + within).cast("int").alias("turn"))
 
 
 def fetch_accept(status: Column, content_type: Column) -> Column:

@@ -92,22 +92,12 @@ def boundary_capture(spark, sf_dir):
     return frontier.boundary(children).select("url", "discovered_from")
 
 
-@query(
-    f"WITH RECURSIVE links AS ({oracle.links()}), reach(url, depth) AS (SELECT url, 0 FROM pages WHERE page_id % 10 = 0 UNION SELECT l.link, r.depth + 1 FROM reach r JOIN links l ON r.url = l.url WHERE r.depth < 3) "
-    "SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url"
-)
-def crawl_levels(spark, sf_dir):
-    storage.work_folder(spark, "levels")
-    pages = table(spark, sf_dir, "pages")
-    return frontier.crawl(pages.filter("page_id % 10 = 0").select("url"), frontier.extract_links(pages))
-
-
 @query(
     f"WITH RECURSIVE links AS ({oracle.links()}), reach(url, depth) AS (SELECT url, 0 FROM pages UNION SELECT l.link, r.depth + 1 FROM reach r JOIN links l ON r.url = l.url WHERE r.depth < {vocab.MAX_DEPTH}) "
     "SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url"
 )
-def crawl_levels_all(spark, sf_dir):
-    """From every page; crawl_levels starts from the tenth of them that its SQL names."""
+def crawl_levels(spark, sf_dir):
+    """From every page, to the depth of the crawler."""
     storage.work_folder(spark, "levels")
     pages = table(spark, sf_dir, "pages")
     return frontier.crawl(pages.select("url"), frontier.extract_links(pages))
@@ -141,21 +131,15 @@ def visited_skip(spark, sf_dir):
     return frontier.unvisited(table(spark, sf_dir, "pages"), _visited(spark, sf_dir)).select("page_id")
 
 
-@query(f"SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY {oracle.url_domain('url')} ORDER BY page_id) AS n FROM pages) WHERE n <= 3")
-def domain_cap(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
-    return frontier.domain_cap(pages, "page_id", 3).select("page_id")
-
-
 @query(f"SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY {oracle.url_domain('url')} ORDER BY page_id) AS n FROM pages) WHERE n <= {vocab.DOMAIN_CAP}")
-def domain_cap_whole(spark, sf_dir):
-    """With the reference's cap; domain_cap has the small one that its SQL names."""
+def domain_cap(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
     return frontier.domain_cap(pages, "page_id").select("page_id")
 
 
 @query(f"SELECT page_id, row_number() OVER (PARTITION BY {oracle.url_domain('url')} ORDER BY page_id)::INT AS turn FROM pages")
 def domain_round_robin(spark, sf_dir):
+    storage.work_folder(spark, "turns")
     pages = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
     return frontier.round_robin(pages, "page_id").select("page_id", "turn")
 
@@ -573,14 +557,8 @@ def balance_undersample(spark, sf_dir):
     return corpus.balance(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query(f"WITH {_RANKED} SELECT doc_id, lang FROM ranked WHERE n <= least((SELECT min(every) FROM ranked), 25)")
-def balance_capped(spark, sf_dir):
-    return corpus.balance(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", cap=25)
-
-
 @query(f"WITH {_RANKED} SELECT doc_id, lang FROM ranked WHERE n <= least((SELECT min(every) FROM ranked), {2_000_000 // 3})")
-def balance_capped_whole(spark, sf_dir):
-    """With the reference's cap; balance_capped has the small one that its SQL names."""
+def balance_capped(spark, sf_dir):
     return corpus.balance(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", cap=2_000_000 // 3)
 
 

@@ -15,8 +15,8 @@ def folder(spark, tmp_path):
 
 
 def test_whole(spark, folder):
-    assert QUERIES["domain_cap_whole"](spark, folder).count() == 9
-    assert QUERIES["balance_capped_whole"](spark, folder).count() == 120
+    assert QUERIES["domain_cap"](spark, folder).count() == 9
+    assert QUERIES["balance_capped"](spark, folder).count() == 120
     latest = QUERIES["scan_combined_latest"](spark, folder)
     assert {(r.Label, r["count"]) for r in latest.groupBy("Label").count().collect()} == {("En", 30), ("Fr", 30), ("De", 30), ("Es", 30)}
     assert latest.filter(F.col("Link") == "old").count() == 0

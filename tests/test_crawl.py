@@ -3,7 +3,9 @@
 import pytest
 
 from lontar import vocab
+from lontar.operators import frontier
 from lontar.plans.queries import QUERIES
+from lontar.sources import storage
 
 
 @pytest.fixture
@@ -25,10 +27,23 @@ def by_hand(seeds, links):
     return depth
 
 
-@pytest.mark.parametrize(("name", "first"), [("crawl_levels", lambda n: n % 10 == 0), ("crawl_levels_all", lambda n: True)])
-def test_whole_depth(spark, folder, name, first):
+def test_whole_depth(spark, folder):
     path, links, pages = folder
-    wanted = by_hand([u for n, u in pages if first(n)], links)
-    assert {r.url: r.depth for r in QUERIES[name](spark, path).collect()} == wanted
-    if name == "crawl_levels":
-        assert max(wanted.values()) == vocab.MAX_DEPTH
+    assert {r.url: r.depth for r in QUERIES["crawl_levels"](spark, path).collect()} == by_hand([u for _, u in pages], links)
+
+
+def test_depth_bound(spark, folder):
+    path, links, pages = folder
+    storage.work_folder(spark, "levels")
+    table = spark.read.parquet(f"{path}/pages.parquet")
+    wanted = by_hand([u for n, u in pages if n % 10 == 0], links)
+    got = frontier.crawl(table.filter("page_id % 10 = 0").select("url"), frontier.extract_links(table))
+    assert {r.url: r.depth for r in got.collect()} == wanted and max(wanted.values()) == vocab.MAX_DEPTH
+
+
+def test_turns_of_a_large_domain(spark):
+    storage.work_folder(spark, "turns")
+    rows = [(i * 37 % 501, "big" if i % 10 else f"d{i}") for i in range(501)] + [(900, None), (901, None)]
+    got = frontier.round_robin(spark.createDataFrame(rows, "n long, domain string").repartition(3), "n").collect()
+    wanted = {n: 1 + sum(1 for m, d in rows if d == own and m < n) for n, own in rows}
+    assert {x.n: x.turn for x in got} == wanted
