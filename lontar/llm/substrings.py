@@ -159,9 +159,15 @@ class Block:
         while a < len(sizes):  # parts of the block's tree: equal windows have equal fingerprints
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SORTED_AT_ONCE, "right")))
             some = many[ends[a - 1] if a else 0 : ends[b - 1]]
-            place, shared = subtree(self.suffixes(some))
-            windows.append(some[place])
-            edges.append(done + np.flatnonzero(shared < WINDOW))
+            suffixes = self.suffixes(some)
+            # Neighbours of the same words are one leaf; the tree is built over the leaves.
+            leaf = np.concatenate([[0], np.flatnonzero((suffixes[1:] != suffixes[:-1]).any(axis=1)) + 1])
+            size = np.diff([*leaf, len(some)])
+            place, shared = subtree(suffixes[leaf])
+            size, first = size[place], leaf[place]
+            to = np.cumsum(size)
+            windows.append(some[np.repeat(first - to + size, size) + np.arange(len(some))])
+            edges.append(done + (to - size)[shared < WINDOW])
             done, a = done + len(some), b
         if not windows:
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -249,14 +255,16 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- suffixes to groups, trees -------------------------------------------------------------------------------------
 
 
-def prefix_groups(words: np.ndarray, common: np.ndarray, rare: int, groups: int) -> np.ndarray:
-    """Groups of suffixes (rows of hashed words): by the words up to the rare-th that isn't common."""
-    prefix, open_, met_ = np.zeros(len(words), np.uint64), np.ones(len(words), bool), np.zeros(len(words), np.int64)
-    for j in range(words.shape[1]):
-        column = words[:, j]
-        prefix = np.where(open_, (prefix ^ (prefix >> np.uint64(29))) * _MIX[1] + column * _MIX[0], prefix)
-        met_ += open_ & ~np.isin(column, common)
-        open_ &= met_ < rare
+def prefix_groups(suffixes: np.ndarray, hashes: np.ndarray, common: np.ndarray, rare: int, groups: int) -> np.ndarray:
+    """Groups of suffixes (rows of word numbers): by the words up to the rare-th that isn't common. hashes, common: of each
+    word by its number."""
+    prefix, met_, some = np.zeros(len(suffixes), np.uint64), np.zeros(len(suffixes), np.int64), np.arange(len(suffixes))
+    for j in range(suffixes.shape[1]):
+        column = suffixes[some, j]
+        before = prefix[some]
+        prefix[some] = (before ^ (before >> np.uint64(29))) * _MIX[1] + hashes[column] * _MIX[0]
+        met_[some] += ~common[column]
+        some = some[met_[some] < rare]
     return (((prefix ^ (prefix >> np.uint64(31))) * _MIX[2] >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
 
 
@@ -290,14 +298,20 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int):
             rows = []
             if len(own):
                 matrix = block.suffixes(own)
-                group = prefix_groups(block.hashes[matrix], common, rare, groups)
+                group = prefix_groups(matrix, block.hashes, np.isin(block.hashes, common), rare, groups)
+                number = np.zeros(len(block.words), np.uint32)
                 order = np.argsort(group, kind="stable")
                 edges = _starts(group[order])
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=False):
                     some = order[a:b]
-                    used, ids = np.unique(matrix[some].T, return_inverse=True)
+                    own_words = matrix[some].T.ravel()
+                    number[own_words] = 1
+                    used = np.flatnonzero(number)
+                    number[used] = np.arange(len(used), dtype=np.uint32)
+                    ids = number[own_words]
+                    number[used] = 0
                     width = 1 if len(used) <= 256 else 2 if len(used) <= 1 << 16 else 4
-                    ids = ids.reshape(-1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+                    ids = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
                     text = pa.array(block.words.take(pa.array(used)).view(pa.large_binary()).to_pylist(), pa.large_binary())
                     lengths = pc.binary_length(text).to_numpy().astype("<u4").tobytes()
                     words = pa.compress(lengths + b"".join(text.to_pylist()), "zstd", asbytes=True)
