@@ -41,6 +41,19 @@ def evaluate(predictions: DataFrame, label: str, prediction: str, classes: list)
     return corpus.weighted_prf(corpus.confusion_matrix(predictions, label, prediction, classes))
 
 
+def predict(model: PipelineModel, texts: list[str], labels: dict[str, int], text: str = "Sentence_Unit") -> list[dict]:
+    """label, confidence, text and probabilities of a few texts, in their order."""
+    spark = SparkSession.active()
+    rows = spark.createDataFrame(list(enumerate(texts)), f"_at long, {text} string")
+    found = classify(model, rows, labels, text).orderBy("_at").collect()
+    return [{"label": r.predicted, "confidence": r.confidence, "text": r[text], "probabilities": r.probabilities} for r in found]
+
+
+def load(path: str) -> tuple[PipelineModel, dict[str, int]]:
+    """A saved model and its label map."""
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/label_map").first()[0])
+
+
 def save(model: PipelineModel, path: str, labels: dict[str, int], info: dict) -> None:
     """The model, its label map and how it was trained."""
     spark = SparkSession.active()

@@ -102,3 +102,86 @@ def dropcap_html(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """join_initials over a column, in Arrow batches; null stays null."""
     for html in pages:
         yield html.map(join_initials, na_action="ignore")
+
+
+# ---- the main content of a page ----------------------------------------------------------------------------------------
+
+_BLOCKS = frozenset("address article blockquote body br center dd div dl dt figcaption h1 h2 h3 h4 h5 h6 hr html li main ol p pre section table td th title tr ul".split())
+#: A block of so many words or more is content, if at most this share of its letters is in links.
+CONTENT_WORDS, LINK_SHARE = 8, 0.5
+
+
+class _Visible(HTMLParser):
+    """The text outside of hidden elements, however they are nested, in blocks: [texts, letters, letters in links, in a table]."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.hidden: list[str] = []
+        self.links = self.tables = 0
+        self.blocks: list[list] = [[[], 0, 0, False]]
+        self.feed(html)
+        self.close()
+
+    def _block(self) -> None:
+        if self.blocks[-1][0]:
+            self.blocks.append([[], 0, 0, False])
+
+    def handle_starttag(self, tag, attrs):
+        if tag in vocab.HIDDEN_ELEMENTS and tag != "input":
+            self.hidden.append(tag)
+        self.links += tag == "a"
+        self.tables += tag == "table"
+        if tag in _BLOCKS:
+            self._block()
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in _BLOCKS:
+            self._block()
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+        self.links = max(0, self.links - (tag == "a"))
+        self.tables = max(0, self.tables - (tag == "table"))
+        if tag in _BLOCKS:
+            self._block()
+
+    def handle_data(self, data):
+        if not self.hidden and data:
+            block, letters = self.blocks[-1], sum(map(str.isalnum, data))
+            block[0].append(data)
+            block[1] += letters
+            block[2] += letters * (self.links > 0)
+            block[3] = block[3] or self.tables > 0
+
+
+def visible_text(html: str) -> str:
+    """All text outside of hidden elements, pieces of it parted by spaces; entities of all kinds are decoded."""
+    return " ".join(t for texts, *_ in _Visible(html).blocks for t in texts)
+
+
+def main_text(html: str) -> str:
+    """The blocks of running text, a line each: those of CONTENT_WORDS or more that are not mostly links and not in tables, and
+    short ones without links between two of them. All visible text if there is no such block."""
+    blocks = [(" ".join("".join(texts).split()), letters, linked, table) for texts, letters, linked, table in _Visible(html).blocks]
+    blocks = [b for b in blocks if b[0]]
+    good = [len(text.split()) >= CONTENT_WORDS and linked <= LINK_SHARE * letters and not table for text, letters, linked, table in blocks]
+    if not any(good):
+        return visible_text(html)
+    kept = [g or (0 < i < len(good) - 1 and good[i - 1] and good[i + 1] and not blocks[i][2] and not blocks[i][3]) for i, g in enumerate(good)]
+    return "\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
+
+
+@F.pandas_udf(StringType())
+def main_content(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """main_text over a column, in Arrow batches; null has no text."""
+    for html in pages:
+        yield html.fillna("").map(main_text)
+
+
+@F.pandas_udf(StringType())
+def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """visible_text over a column, in Arrow batches; null has no text."""
+    for html in pages:
+        yield html.fillna("").map(visible_text)

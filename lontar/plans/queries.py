@@ -13,7 +13,7 @@ from ..functions.sql import register
 from ..functions.text import barrier, spread, trimmed
 from ..operators import clean, corpus, dedup, frontier, html, language, ratelimit, rules
 from ..operators import sentences as sentence_ops
-from ..sources import storage
+from ..sources import fetch, storage
 from ..streaming import pages as streams
 from . import extract, oracle
 
@@ -204,6 +204,16 @@ def fallback_text(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", html.fallback_text(F.col("html")).alias("text"))
 
 
+@query()
+def main_content(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.main_content("html").alias("text"))
+
+
+@query()
+def page_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.page_text("html").alias("text"))
+
+
 # ---- whole texts -----------------------------------------------------------------------------------------------------
 
 for _step in clean.STEPS:
@@ -399,7 +409,7 @@ def scan_corpus_csv(spark, sf_dir):
     return storage.read_corpus(spark, path)
 
 
-@query()
+@query(f"SELECT {_RECORDS} FROM documents")
 def scan_combined_latest(spark, sf_dir):
     folder, rows = storage.work_folder(spark, "combined"), corpus.map_output(_records(spark, sf_dir))
     for stamp, kept in (("20240101_000000", rows.withColumn("Link", F.lit("old"))), ("20240203_120000", rows)):
@@ -710,6 +720,74 @@ def train_classifier(spark, sf_dir):
     return ml.evaluate(scored.select("lang", "predicted"), "lang", "predicted", list(labels))
 
 
+@query("SELECT * FROM (VALUES ('de', 0), ('en', 1), ('es', 2), ('fr', 3)) t(name, id)")
+def sink_model(spark, sf_dir):
+    """A model of the documents' languages, saved and loaded again; the label map that lies beside it."""
+    path, labels = storage.work_folder(spark, "model"), {"de": 0, "en": 1, "es": 2, "fr": 3}
+    docs = corpus.label_ids(table(spark, sf_dir, "documents").select("lang", F.col("text").alias("Sentence_Unit")), labels, "lang")
+    ml.save(ml.train(docs, iterations=1), path, labels, {"max_length": ml.MAX_TOKENS})
+    loaded = ml.load(path)[1]
+    return spark.createDataFrame(list(loaded.items()), "name string, id int")
+
+
+@query(f"SELECT url, 0 AS depth, 'Web' AS religion, 'pages' AS source, 'Unknown' AS region, {oracle.url_domain('url')} AS domain, 0 AS retry_count FROM pages")
+def sink_queue(spark, sf_dir):
+    path = storage.work_folder(spark, "queue")
+    storage.write_json(storage.pages_as_tasks(table(spark, sf_dir, "pages")), path)
+    return storage.read_queue(spark, path)
+
+
+@query("SELECT 'history' AS name, count(*) AS n FROM (SELECT DISTINCT trim(url) FROM pages) UNION ALL SELECT 'history.1', count(*) FROM (SELECT DISTINCT trim(url) FROM pages)")
+def archive_state(spark, sf_dir):
+    """The history, archived twice: the second one finds its name taken."""
+    folder, moved = storage.work_folder(spark, "state"), []
+    for _ in range(2):
+        storage.write_lines(table(spark, sf_dir, "pages").select("url"), f"{folder}/history")
+        moved.append(storage.archive(spark, f"{folder}/history", f"{folder}/archive"))
+    parts = [storage.read_lines(spark, path).agg(F.count("*").alias("n")).select(F.lit(path.rpartition("/")[2]).alias("name"), "n") for path in moved]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT 'corpus_20240203_120000.csv' AS name")
+def latest_file(spark, sf_dir):
+    folder = storage.work_folder(spark, "latest")
+    for stamp in ("20240203_120000", "20240101_000000"):
+        storage.write_lines(table(spark, sf_dir, "region").select("r_name"), f"{folder}/corpus_{stamp}.csv")
+    found = storage.latest_file(spark, f"{folder}/corpus_*.csv")
+    return spark.createDataFrame([(found.rpartition("/")[2],)], "name string")
+
+
+@query("SELECT 'drained' AS place, text AS value FROM documents UNION ALL SELECT 'buffer', text FROM benchmark")
+def drain_batch(spark, sf_dir):
+    """A buffer is drained at once; what comes later lies in a new one."""
+    folder = storage.work_folder(spark, "buffer")
+    table(spark, sf_dir, "documents").select(F.col("text").alias("value")).write.parquet(f"{folder}/buffer")
+    taken = storage.drain(spark, f"{folder}/buffer", f"{folder}/drained")
+    table(spark, sf_dir, "benchmark").select(F.col("text").alias("value")).write.parquet(f"{folder}/buffer")
+    parts = [spark.read.schema("value string").parquet(p).select(F.lit(place).alias("place"), "value") for place, p in (("drained", taken), ("buffer", f"{folder}/buffer"))]
+    return parts[0].union(parts[1])
+
+
+@query(f"SELECT page_id, [{', '.join(repr(a) for a in vocab.USER_AGENTS)}][1 + (('0x' || substr(md5(url), 1, 8))::BIGINT % {len(vocab.USER_AGENTS)})::INT] AS user_agent FROM pages")
+def user_agent_pick(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fetch.user_agent_pick(F.col("url")).alias("user_agent"))
+
+
+@query("SELECT * FROM (VALUES ('pyspark', true), ('pandas', true), ('pyarrow', true), ('numpy', true)) t(module, present)")
+def check_deps(spark, sf_dir):
+    return fetch.check_deps(spark)
+
+
+@query(
+    f"WITH t AS (SELECT page_id, {oracle.url_domain('url')} AS domain FROM pages), r AS (SELECT page_id, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS n FROM t), "
+    f"f AS (SELECT page_id FROM r WHERE n <= {vocab.DOMAIN_LIMIT} ORDER BY page_id LIMIT {vocab.GLOBAL_LIMIT}) SELECT page_id, page_id IN (SELECT page_id FROM f) AS admitted FROM pages"
+)
+def limiter_admission(spark, sf_dir):
+    """Which pages' requests may start at once, with none under way."""
+    tasks = table(spark, sf_dir, "pages").select("page_id", urls.url_domain(F.col("url")).alias("domain"))
+    return fetch.admitted(tasks, "page_id", tasks.limit(0)).select("page_id", "admitted")
+
+
 # ---- the rest --------------------------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,10 @@ _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, which all executors share; a folder of this machine only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or (Path(tempfile.gettempdir()) / "checkpoints").as_uri()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    path = path or (Path(tempfile.gettempdir()) / "checkpoints").as_uri()
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)
     return f"{path.rstrip('/')}/lontar-files/{name}-{uuid.uuid4().hex}"
@@ -119,6 +122,11 @@ def archive(spark: SparkSession, path: str, folder: str) -> str | None:
     return target.toString()
 
 
+def drain(spark: SparkSession, buffer: str, drained: str) -> str | None:
+    """Take all that a buffer folder holds, at once: it is renamed, so that what comes later starts a new one; the new path."""
+    return archive(spark, buffer, drained)
+
+
 def missing_files(required: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:
     return required.select(name).join(present.select(name), name, "left_anti")
 

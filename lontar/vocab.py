@@ -154,6 +154,16 @@ NAV_DENSITY = (
 ).split()
 
 # ---- fixed values: pages and links -----------------------------------------------------------------------------------
+#: Names under which pages are asked for, and how many requests may be under way, in all and of a domain. Fixed values.
+USER_AGENTS = [
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:121.0) Gecko/20100101 Firefox/121.0",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2 Safari/605.1.15",
+    "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+]
+GLOBAL_LIMIT = 400
+DOMAIN_LIMIT = 13
 HIDDEN_ELEMENTS = ["script", "style", "nav", "header", "footer", "aside", "form", "button", "input", "select", "noscript", "iframe"]
 DROPCAP_TAGS = ["span", "div", "p", "b", "strong", "i", "em"]
 DROPCAP_CLASSES = ["drop", "initial", "first", "cap", "big", "letter", "lead"]
