@@ -2,8 +2,9 @@
 
 Writing: each task writes archives of its own to a shared folder (one gzip member per record) and returns an index
 row per record: archive, offset, length, URL, page and payload digest. A file's name holds a random part, and only
-the index of tasks that succeeded is kept, so lost or repeated tasks leave at most unused files. Pages never move:
-only the digests of payloads that occur more than once are dealt out, to find which record holds the payload.
+the index of tasks that succeeded is kept, so lost or repeated tasks leave at most unused files. Which record holds a payload
+is found from digests alone; pages stay where they lie while the digests that repeat are few enough to be sent to all tasks
+(they are counted), beyond that the join to them deals pages out.
 
 Reading: index rows (all, or any selection) are dealt by archive and range, sorted by offset, and neighbouring ranges
 are read at once; every payload is checked against the digest in its header.
