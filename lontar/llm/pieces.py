@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers (about 300 bytes each) in each of two generations: those not met in the last one are forgotten.
-REMEMBERED = 350_000
+REMEMBERED = 600_000
 #: Bytes of text whose words are numbered together.
 NUMBERED = 8 << 20
 #: In a cut text, the mark of a word that no space precedes.
