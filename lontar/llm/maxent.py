@@ -3,15 +3,16 @@
 A word is reached through nested classes: its probability is a product of softmaxes, one for each class on its way, over
 that class's (at most WIDTH) parts. First comes the word's outer class (the frequent words and the end of a text form one,
 the other words are dealt to the rest by their last two bytes), then parts of it by the word's hash, and parts of those.
-A class is divided for as long as its words, its most frequent one aside, have at least LEAF_TOKENS training tokens: so
-classes grow with the vocabulary, up to MAX_LEAVES of them. Words left in one undivided class share it by their counts
+A class is divided for as long as its words, its most frequent one aside, have at least LEAF_TOKENS training tokens (more
+in large corpora, so that divided classes don't outnumber the model's rows): so classes grow with the vocabulary. Words left in one undivided class share it by their counts
 plus one, and so does what it gives to unknown words.
 
 Every softmax has hashed features of the words before: the previous one (n-gram) and the one before that (skip), each
 with the class to be divided; they tilt a reference, the class's counted division. The weights are trained by gradient:
 in each of EPOCHS passes over all training texts, TURNS times, every task sums the gradient of its share of the texts,
 the sums meet slab by slab, and the driver, which holds nothing but the model, takes a step. The model has 2^bits rows of
-weights a feature, where bits grow with the text up to MAX_BITS (it is sent to all tasks).
+weights a feature, some ROOT_ROWS for the square root of the tokens, at any size of the corpus (it is sent to all tasks:
+33 MB of weights for 30 GB of text, 1 GB for 100 TB, for which executors and spark.driver.maxResultSize have to be sized).
 
 Counts of words are exact and cover all training texts. Texts are stored in the shared folder in blocks, without a
 shuffle; a block sends its distinct words (as 64-bit keys; of n words some n^2 / 2^61 pairs may be taken for one by
@@ -43,14 +44,14 @@ from .substrings import packed, unpacked
 FOLDS, HELD_OUT = 7, 2
 #: Parts of a class; softmaxes on the way to a word at most.
 WIDTH, LEVELS = 16, 7
-#: Training tokens in an undivided class, its most frequent word aside; undivided classes at most, about.
-LEAF_TOKENS, MAX_LEAVES = 4096, 1 << 18
+#: Training tokens in an undivided class, its most frequent word aside, at least; undivided classes for a row of weights, about.
+LEAF_TOKENS, ROW_LEAVES = 4096, 8
 #: A word is frequent if it is one of so many tokens or more.
 FREQUENT_SHARE = 128
 #: Bytes of text that count as one token where the classes and tables are laid out.
 TOKEN_BYTES = 6
-#: Tokens for each row of weights; hash bits of a feature's rows.
-ROW_TOKENS, MIN_BITS, MAX_BITS = 2048, 12, 15
+#: Rows of weights a feature for the square root of the tokens; hash bits of a feature's rows, at least.
+ROOT_ROWS, MIN_BITS = 2, 12
 EPOCHS, TURNS, STEP, PRIOR, DAMPING = 1, 4, 0.8, 8.0, 4.0
 #: Bytes of text in a block; behind a group of word keys; groups of a task; bytes of text behind a training task.
 BLOCK_BYTES, GROUP_BYTES, TASK_GROUPS, TRAIN_BYTES = 32 << 20, 6 << 20, 8, 64 << 20
@@ -108,9 +109,9 @@ class Shape:
     def __init__(self, size: int, group_bytes: int = GROUP_BYTES):
         about = max(1, size // TOKEN_BYTES)
         self.groups = max(1, -(-size // group_bytes))
-        self.leaf = max(LEAF_TOKENS, about // MAX_LEAVES)
         self.often = max(2, about // FREQUENT_SHARE)
-        self.bits = min(MAX_BITS, max(MIN_BITS, int(about // ROW_TOKENS).bit_length()))
+        self.bits = max(MIN_BITS, int(ROOT_ROWS * about**0.5).bit_length())
+        self.leaf = max(LEAF_TOKENS, about // (ROW_LEAVES << self.bits))
         #: Classes down to this level are always divided, and a group has whole ones below it.
         self.always = 0
         while 15 * 16**self.always < 8 * self.groups and self.always < LEVELS - 2:

@@ -188,3 +188,11 @@ def test_words_are_split_and_lowered_as_bytes():
     want = [w for t in texts for w in [*words_of(t), None]]
     assert n.tolist() == [len(words_of(t)) + 1 for t in texts]
     assert [int(keys[i]) for i in index] == [0 if w is None else int(maxent.word_keys([w])[0]) for w in want]
+
+
+def test_the_model_grows_with_the_corpus_at_any_size():
+    shapes = [maxent.Shape(int(size)) for size in (1e8, 5e8, 3e10, 1e12, 1e14)]
+    assert all(a.bits < b.bits for a, b in zip(shapes[:-1], shapes[1:], strict=True))
+    leaves = [size / maxent.TOKEN_BYTES / s.leaf for size, s in zip((1e8, 5e8, 3e10, 1e12, 1e14), shapes, strict=True)]
+    assert all(a < b for a, b in zip(leaves[:-1], leaves[1:], strict=True))
+    assert all(n < 16 ** maxent.LEVELS for n in leaves)
