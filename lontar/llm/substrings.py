@@ -38,8 +38,10 @@ from .blocks import BLOCK_BYTES, Files, block_rows, files_of, in_blocks, met
 from .shared import read_table, small, stored
 
 WINDOW = 13
-#: Bytes of text behind a range of fingerprints; suffixes of a group, and of a part of a block that is sorted at once.
-RANGE_BYTES, GROUP_SUFFIXES, SORTED_AT_ONCE = 16 << 20, 1 << 20, 1 << 19
+#: Bytes of text behind a range of fingerprints; suffixes of a group, of a part of a block that is sorted at once, of a message.
+RANGE_BYTES, GROUP_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 20, 1 << 19, 1 << 18
+#: Bytes of messages that a sender holds.
+HELD_BYTES = 8 << 20
 #: Bits of a fingerprint beyond those that number the windows: one in 2^SPARE is told to be repeated by chance, at most.
 SPARE = 10
 #: A word is common if it is one of so many words of a block or more; a block names at most as many.
@@ -87,6 +89,12 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted. Of millions of numbers, a sort is much faster than numpy's unique, which hashes them."""
+    ordered = np.sort(values)
+    return ordered[_starts(ordered)]
+
+
 def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of suffixes (rows of word numbers) by their words, and how many words each shares with the one before it:
     the internal nodes of their tree are the runs of neighbours that share a number of words."""
@@ -148,7 +156,7 @@ class Block:
 
     def nodes(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For windows that the block has more than once: their indices, node by node, and where nodes start."""
-        order = np.argsort(prints, kind="stable")
+        order = np.argsort(prints)
         ordered = prints[order]
         starts = _starts(ordered)
         n = np.diff([*starts, len(ordered)])
@@ -204,7 +212,7 @@ def _printer(bits: int, ranges: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _runs_of_blocks(batches):
             block = Block(_texts(iter(held)))
-            prints = np.unique(block.prints() >> np.uint64(64 - bits))
+            prints = _distinct(block.prints() >> np.uint64(64 - bits))
             cuts = np.searchsorted(prints, [(i << bits) // ranges for i in range(ranges + 1)])
             rows = [{"grp": i, "block": number, "prints": packed(prints[a:b]), "common": None} for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
             n = np.bincount(block.number, minlength=len(block.words))
@@ -234,7 +242,7 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, block = prints[by_block], block[by_block]
         edges = _starts(block)
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=False):
-            own = np.unique(prints[a:b])
+            own = _distinct(prints[a:b])
             yield pa.RecordBatch.from_pylist([{"block": int(numbers[block[a]]), "prints": packed(own), "n": len(own)}], schema)
 
     group, rows = None, []
@@ -268,7 +276,7 @@ def prefix_groups(suffixes: np.ndarray, hashes: np.ndarray, common: np.ndarray,
     return (((prefix ^ (prefix >> np.uint64(31))) * _MIX[2] >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
 
 
-def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int):
+def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_once: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = dict.fromkeys(x.split()[0] for x in _MESSAGE.split(", "))
         schema = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("ids", "at", "owner", "removed", "extra", "like"))])
@@ -288,40 +296,56 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int):
             sole = np.ones(len(prints), bool)
             sole[windows] = False
             sole[first] = True
-            told = np.unique(np.concatenate([unpacked(p) for (p,) in answers])) if answers else np.empty(0, np.uint64)
+            told = _distinct(np.concatenate([unpacked(p) for (p,) in answers])) if answers else np.empty(0, np.uint64)
             own = np.flatnonzero(sole)
             if len(told):
                 cut = prints[own] >> np.uint64(64 - bits)
                 own = own[told[np.minimum(np.searchsorted(told, cut), len(told) - 1)] == cut]
             else:
                 own = own[:0]
-            rows = []
-            if len(own):
-                matrix = block.suffixes(own)
-                group = prefix_groups(matrix, block.hashes, np.isin(block.hashes, common), rare, groups)
-                number = np.zeros(len(block.words), np.uint32)
-                order = np.argsort(group, kind="stable")
-                edges = _starts(group[order])
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=False):
-                    some = order[a:b]
-                    own_words = matrix[some].T.ravel()
-                    number[own_words] = 1
-                    used = np.flatnonzero(number)
-                    number[used] = np.arange(len(used), dtype=np.uint32)
-                    ids = number[own_words]
-                    number[used] = 0
-                    width = 1 if len(used) <= 256 else 2 if len(used) <= 1 << 16 else 4
-                    ids = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
-                    text = pa.array(block.words.take(pa.array(used)).view(pa.large_binary()).to_pylist(), pa.large_binary())
-                    lengths = pc.binary_length(text).to_numpy().astype("<u4").tobytes()
-                    words = pa.compress(lengths + b"".join(text.to_pylist()), "zstd", asbytes=True)
-                    size = len(lengths) + int(np.frombuffer(lengths, "<u4").sum())
-                    rows.append(nothing | {"grp": int(group[some[0]]), "block": files.block, "n_words": len(used), "words": size.to_bytes(8, "little") + words, "ids": pa.compress(ids, "zstd", asbytes=True), "at": packed(own[some]), "owner": _squeezed(block.owner[own[some]])})
+            rows, held = [], 0
+            for group, some in parted(block, own):
+                words, n_words, ids = written(block, some)
+                rows.append(nothing | {"grp": group, "block": files.block, "n_words": n_words, "words": words, "ids": ids, "at": packed(some), "owner": _squeezed(block.owner[some])})
+                held += len(words) + len(ids) + 16 * len(some)
+                if held > HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
             if len(removed) or len(extra):
                 rows.append(nothing | {"grp": files.block * 7919 % groups, "block": files.block, "removed": packed(removed), "extra": extra.astype("<i8").tobytes(), "like": like.astype("<i8").tobytes()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
+    def parted(block: Block, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The windows of each group, in their order, at_once of them at most at a time."""
+        often = np.isin(block.hashes, common)
+        parts = range(0, len(own), at_once)
+        group = np.concatenate([np.empty(0, np.int64), *(prefix_groups(block.suffixes(own[a : a + at_once]), block.hashes, often, rare, groups) for a in parts)])
+        order = np.argsort(group, kind="stable")
+        edges = _starts(group[order])
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=False):
+            for i in range(a, b, at_once):
+                yield int(group[order[a]]), own[order[i : min(b, i + at_once)]]
+
+    def written(block: Block, windows: np.ndarray) -> tuple[bytes, int, bytes]:
+        """The distinct words of some windows, their number, and the windows as places in them, compressed."""
+        numbers = block.suffixes(windows).T.ravel()
+        if 8 * len(numbers) < len(block.words):
+            used, ids = np.unique(numbers, return_inverse=True)
+        else:
+            place = np.zeros(len(block.words), np.uint32)
+            place[numbers] = 1
+            used = np.flatnonzero(place)
+            place[used] = np.arange(len(used), dtype=np.uint32)
+            ids = place[numbers]
+        width = 1 if len(used) <= 256 else 2 if len(used) <= 1 << 16 else 4
+        ids = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+        text = block.words.take(pa.array(used)).view(pa.large_binary()).to_pylist()
+        lengths = np.fromiter(map(len, text), "<u4", len(text))
+        words = pa.compress(lengths.tobytes() + b"".join(text), "zstd", asbytes=True)
+        size = lengths.nbytes + int(lengths.sum(dtype=np.int64))
+        return size.to_bytes(8, "little") + words, len(used), pa.compress(ids, "zstd", asbytes=True)
+
     return send
 
 
@@ -455,7 +479,7 @@ def _settler(answer: Callable, schema: pa.Schema, with_row: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files, answers in block_rows(batches, ("removed", "extra", "like")):
-            removed = np.unique(np.concatenate([np.empty(0, np.int64), *(unpacked(r).astype(np.int64) for r, _, _ in answers)]))
+            removed = _distinct(np.concatenate([np.empty(0, np.int64), *(unpacked(r).astype(np.int64) for r, _, _ in answers)]))
             extra, like = (np.frombuffer(b"".join(a[i] or b"" for a in answers), "<i8") for i in (1, 2))
             yield from settle(files, np.union1d(removed, extra[np.isin(like, removed)]))
 
@@ -485,7 +509,7 @@ def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out:
     while COMMON_SHARE**rare < 8 * groups:
         rare += 1
     told = matched.filter("prints IS NOT NULL").select("block", "prints")
-    sender = _suffix_sender(bits, np.sort(np.array(common, np.int64).view(np.uint64)), rare, groups)
+    sender = _suffix_sender(bits, np.sort(np.array(common, np.int64).view(np.uint64)), rare, groups, min(SENT_AT_ONCE, group_suffixes))
     sent = met(files, told, n_blocks).mapInArrow(sender, _MESSAGE)
     trees = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_trees(2 * group_suffixes), "block long, removed binary, extra binary, like binary")
     return met(files, trees, n_blocks).mapInArrow(_settler(answer, to_arrow_schema(out), with_row), out)
