@@ -39,7 +39,7 @@ from .shared import read_table, small, stored
 
 WINDOW = 13
 #: Bytes of text behind a range of fingerprints; suffixes of a group, of a part of a block that is sorted at once, of a message.
-RANGE_BYTES, GROUP_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 20, 1 << 19, 1 << 18
+RANGE_BYTES, GROUP_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 19, 1 << 19, 1 << 18
 #: Bytes of messages that a sender holds.
 HELD_BYTES = 8 << 20
 #: Bits of a fingerprint beyond those that number the windows: one in 2^SPARE is told to be repeated by chance, at most.
@@ -232,7 +232,7 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpacked(raw) for _, raw in rows]
         prints, numbers = np.concatenate(parts), np.unique([b for b, _ in rows])
         block = np.repeat(np.searchsorted(numbers, [b for b, _ in rows]).astype(np.int32), [len(p) for p in parts])
-        order = np.argsort(prints, kind="stable")  # blocks stay in order
+        order = np.argsort(prints)
         prints, block = prints[order], block[order]
         starts = _starts(prints)
         several = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts)
@@ -340,9 +340,12 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
             ids = place[numbers]
         width = 1 if len(used) <= 256 else 2 if len(used) <= 1 << 16 else 4
         ids = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
-        text = block.words.take(pa.array(used)).view(pa.large_binary()).to_pylist()
-        lengths = np.fromiter(map(len, text), "<u4", len(text))
-        words = pa.compress(lengths.tobytes() + b"".join(text), "zstd", asbytes=True)
+        text = block.words.take(pa.array(used))
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        lengths = np.diff(ends).astype("<u4")
+        letters = text.buffers()[2]
+        letters = memoryview(letters)[ends[0] : ends[-1]] if letters is not None else b""
+        words = pa.compress(b"".join((lengths.tobytes(), letters)), "zstd", asbytes=True)
         size = lengths.nbytes + int(lengths.sum(dtype=np.int64))
         return size.to_bytes(8, "little") + words, len(used), pa.compress(ids, "zstd", asbytes=True)
 
@@ -364,7 +367,10 @@ def _trees(at_once: int):
             places.append(unpacked(at).astype(np.int64))
             owners.append(_unsqueezed(owner, len(places[-1])))
             blocks.append(np.full(len(places[-1]), block, np.int64))
-        numbers = pa.concat_arrays(texts).dictionary_encode().indices.to_numpy().astype(np.int32)
+        numbers = pa.chunked_array(texts).dictionary_encode()
+        numbers = np.concatenate([c.indices.to_numpy() for c in numbers.chunks]).astype(np.int32)
+        texts.clear()
+        pa.default_memory_pool().release_unused()
         parts = -(-sum(map(len, places)) // at_once)
         for part in range(parts):
             matrix, which, first = [], [], 0
@@ -373,12 +379,16 @@ def _trees(at_once: int):
                 planes = np.frombuffer(pa.decompress(raw, width * WINDOW * len(at), "zstd", asbytes=True), np.uint8).reshape(width, -1)
                 ids = np.zeros((planes.shape[1], 4), np.uint8)
                 ids[:, :width] = planes.T
-                suffixes = numbers[first + ids.view("<u4").reshape(WINDOW, -1).T]
+                suffixes = numbers[first : first + n_words][ids.view("<u4").reshape(WINDOW, -1)]
                 first += n_words
-                some = np.flatnonzero(((suffixes.astype(np.uint64) * _MIX).sum(axis=1) >> np.uint64(33)) % np.uint64(parts) == np.uint64(part)) if parts > 1 else slice(None)
-                matrix.append(suffixes[some])
+                if parts > 1:
+                    some = np.flatnonzero((sum(c * m for c, m in zip(suffixes.astype(np.uint64), _MIX, strict=True)) >> np.uint64(33)) % np.uint64(parts) == np.uint64(part))
+                    suffixes = suffixes[:, some]
+                else:
+                    some = slice(None)
+                matrix.append(suffixes)
                 which.append(some)
-            yield from told(np.concatenate(matrix), *(np.concatenate([x[w] for x, w in zip(xs, which, strict=True)]) for xs in (places, owners, blocks)))
+            yield from told(np.concatenate(matrix, axis=1).T, *(np.concatenate([x[w] for x, w in zip(xs, which, strict=True)]) for xs in (places, owners, blocks)))
 
     def told(matrix: np.ndarray, place: np.ndarray, owner: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(matrix):
@@ -395,7 +405,7 @@ def _trees(at_once: int):
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
-        for batch in batches:
+        for batch in small(batches):
             for own, *row, removed, extra, like in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "words", "n_words", "ids", "at", "owner", "removed", "extra", "like")), strict=True):
                 if own != group and rows:
                     yield from grown(rows)
