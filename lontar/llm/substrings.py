@@ -3,11 +3,12 @@
 Every place where WINDOW words follow starts a suffix. Only suffixes that share their first WINDOW words with another one
 can lie below a deep internal node, so fingerprints come first: a block of texts sends each of its distinct windows once,
 as a fingerprint cut to the bits that the size of the corpus needs, to the task of its range of fingerprints, and is told
-which of them some other block has too (all true ones, and a few others: a thousandth or so).
+which of them some other block has too (all true ones, and a few others: one in 2^SPARE or so).
 
 The suffixes that are left are split by their first words into groups that fit a task's memory. A prefix ends with the
 first word that isn't common (in corpora of very many groups, with the second such word and so on), at WINDOW words at
-the latest; a group that is still too large is split by whole windows. A suffix is sent with its words. In a group the
+the latest; prefixes that differ only in the common words before that go together; a group that is still too large is
+split by whole windows. Suffixes are sent with their words, those that overlap in the text as one passage. In a group the
 suffixes of all blocks are sorted by their words, and the words that neighbours share from the start (LCP) give the tree:
 an internal node of depth WINDOW or more is a run of neighbours that share as many. As only repeats of WINDOW words
 count, trees are cut at that depth. Of each node, the blocks are told the smallest doc_id. Within a block the same tree
@@ -43,12 +44,12 @@ RANGE_BYTES, GROUP_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 19, 1
 #: Bytes of messages that a sender holds.
 HELD_BYTES = 8 << 20
 #: Bits of a fingerprint beyond those that number the windows: one in 2^SPARE is told to be repeated by chance, at most.
-SPARE = 10
+SPARE = 8
 #: A word is common if it is one of so many words of a block or more; a block names at most as many.
-COMMON_SHARE = 4096
+COMMON_SHARE = 1 << 18
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string"
-_MESSAGE = "grp long, block long, words binary, n_words int, ids binary, at binary, owner binary, removed binary, extra binary, like binary"
+_MESSAGE = "grp long, block long, words binary, n_words int, ids binary, steps binary, at binary, owner binary, removed binary, extra binary, like binary"
 
 
 def _constants(n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -75,6 +76,15 @@ def unpacked(raw: bytes | None) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _pressed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as packed, compressed, behind their number."""
+    return len(values).to_bytes(8, "little") + pa.compress(packed(values), "zstd", asbytes=True)
+
+
+def _expanded(raw: bytes) -> np.ndarray:
+    return unpacked(pa.decompress(raw[8:], 8 * int.from_bytes(raw[:8], "little"), "zstd", asbytes=True))
+
+
 def _squeezed(values: np.ndarray) -> bytes:
     """64-bit values in any order, as compressed byte planes of their differences (modulo 2^64)."""
     steps = np.diff(values.view(np.uint64), prepend=np.uint64(0))
@@ -214,7 +224,7 @@ def _printer(bits: int, ranges: int):
             block = Block(_texts(iter(held)))
             prints = _distinct(block.prints() >> np.uint64(64 - bits))
             cuts = np.searchsorted(prints, [(i << bits) // ranges for i in range(ranges + 1)])
-            rows = [{"grp": i, "block": number, "prints": packed(prints[a:b]), "common": None} for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+            rows = [{"grp": i, "block": number, "prints": _pressed(prints[a:b]), "common": None} for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
             n = np.bincount(block.number, minlength=len(block.words))
             common = block.hashes[n * COMMON_SHARE >= max(1, len(block.number))].view(np.int64)
             rows.append({"grp": number % ranges, "block": number, "prints": None, "common": common})
@@ -229,7 +239,7 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("block", pa.int64()), ("prints", pa.binary()), ("n", pa.int64()), ("common", pa.list_(pa.int64()))])
 
     def shared(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        parts = [unpacked(raw) for _, raw in rows]
+        parts = [_expanded(raw) for _, raw in rows]
         prints, numbers = np.concatenate(parts), np.unique([b for b, _ in rows])
         block = np.repeat(np.searchsorted(numbers, [b for b, _ in rows]).astype(np.int32), [len(p) for p in parts])
         order = np.argsort(prints)
@@ -264,14 +274,16 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_groups(suffixes: np.ndarray, hashes: np.ndarray, common: np.ndarray, rare: int, groups: int) -> np.ndarray:
-    """Groups of suffixes (rows of word numbers): by the words up to the rare-th that isn't common. hashes, common: of each
-    word by its number."""
+    """Groups of suffixes (rows of word numbers): by their prefix up to the rare-th word that isn't common, less the common
+    words before the first of these (if all are common, by all words). So suffixes that begin shortly before one rare word
+    are in one group, and are sent as one passage. hashes, common: of each word by its number."""
     prefix, met_, some = np.zeros(len(suffixes), np.uint64), np.zeros(len(suffixes), np.int64), np.arange(len(suffixes))
     for j in range(suffixes.shape[1]):
         column = suffixes[some, j]
-        before = prefix[some]
+        rarely = ~common[column]
+        before = np.where(rarely & (met_[some] == 0), np.uint64(0), prefix[some])
         prefix[some] = (before ^ (before >> np.uint64(29))) * _MIX[1] + hashes[column] * _MIX[0]
-        met_[some] += ~common[column]
+        met_[some] += rarely
         some = some[met_[some] < rare]
     return (((prefix ^ (prefix >> np.uint64(31))) * _MIX[2] >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
 
@@ -279,7 +291,7 @@ def prefix_groups(suffixes: np.ndarray, hashes: np.ndarray, common: np.ndarray,
 def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_once: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = dict.fromkeys(x.split()[0] for x in _MESSAGE.split(", "))
-        schema = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("ids", "at", "owner", "removed", "extra", "like"))])
+        schema = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("ids", "steps", "at", "owner", "removed", "extra", "like"))])
         for files, answers in block_rows(batches, ("prints",)):
             block = Block(_texts(files.batches(["id", "text"])))
             prints = block.prints()
@@ -305,8 +317,8 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
                 own = own[:0]
             rows, held = [], 0
             for group, some in parted(block, own):
-                words, n_words, ids = written(block, some)
-                rows.append(nothing | {"grp": group, "block": files.block, "n_words": n_words, "words": words, "ids": ids, "at": packed(some), "owner": _squeezed(block.owner[some])})
+                words, n_words, ids, steps = written(block, some)
+                rows.append(nothing | {"grp": group, "block": files.block, "n_words": n_words, "words": words, "ids": ids, "steps": steps, "at": packed(some), "owner": _squeezed(block.owner[some])})
                 held += len(words) + len(ids) + 16 * len(some)
                 if held > HELD_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -327,9 +339,13 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
             for i in range(a, b, at_once):
                 yield int(group[order[a]]), own[order[i : min(b, i + at_once)]]
 
-    def written(block: Block, windows: np.ndarray) -> tuple[bytes, int, bytes]:
-        """The distinct words of some windows, their number, and the windows as places in them, compressed."""
-        numbers = block.suffixes(windows).T.ravel()
+    def written(block: Block, windows: np.ndarray) -> tuple[bytes, int, bytes, bytes]:
+        """The distinct words of some windows, their number, the passages that the windows cover as places in them, and
+        how far each window begins after the one before it, compressed."""
+        at = block.at[windows]
+        steps = np.minimum(np.diff(at, prepend=at[0] - WINDOW), WINDOW)  # a window adds so many words
+        ends = np.cumsum(steps)
+        numbers = block.number[np.repeat(at + WINDOW - ends, steps) + np.arange(ends[-1])]
         if 8 * len(numbers) < len(block.words):
             used, ids = np.unique(numbers, return_inverse=True)
         else:
@@ -347,7 +363,7 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
         letters = memoryview(letters)[ends[0] : ends[-1]] if letters is not None else b""
         words = pa.compress(b"".join((lengths.tobytes(), letters)), "zstd", asbytes=True)
         size = lengths.nbytes + int(lengths.sum(dtype=np.int64))
-        return size.to_bytes(8, "little") + words, len(used), pa.compress(ids, "zstd", asbytes=True)
+        return size.to_bytes(8, "little") + words, len(used), pa.compress(ids, "zstd", asbytes=True), pa.compress(steps.astype(np.uint8).tobytes(), "zstd", asbytes=True)
 
     return send
 
@@ -360,7 +376,7 @@ def _trees(at_once: int):
 
     def grown(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         texts, places, owners, blocks = [], [], [], []
-        for block, words, n_words, _, at, owner in rows:
+        for block, words, n_words, _, _, at, owner in rows:
             raw = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), "zstd", asbytes=True)
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw[: 4 * n_words], "<u4"), dtype=np.int64)])
             texts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 * n_words :])]))
@@ -374,12 +390,15 @@ def _trees(at_once: int):
         parts = -(-sum(map(len, places)) // at_once)
         for part in range(parts):
             matrix, which, first = [], [], 0
-            for (_, _, n_words, raw, _, _), at in zip(rows, places, strict=True):
+            for (_, _, n_words, raw, steps, _, _), at in zip(rows, places, strict=True):
                 width = 1 if n_words <= 256 else 2 if n_words <= 1 << 16 else 4
-                planes = np.frombuffer(pa.decompress(raw, width * WINDOW * len(at), "zstd", asbytes=True), np.uint8).reshape(width, -1)
+                steps = np.frombuffer(pa.decompress(steps, len(at), "zstd", asbytes=True), np.uint8)
+                ends = np.cumsum(steps, dtype=np.int64)
+                planes = np.frombuffer(pa.decompress(raw, width * int(ends[-1]), "zstd", asbytes=True), np.uint8).reshape(width, -1)
                 ids = np.zeros((planes.shape[1], 4), np.uint8)
                 ids[:, :width] = planes.T
-                suffixes = numbers[first : first + n_words][ids.view("<u4").reshape(WINDOW, -1)]
+                passage = numbers[first : first + n_words][ids.view("<u4").ravel()]
+                suffixes = np.stack([passage[ends - WINDOW + j] for j in range(WINDOW)])
                 first += n_words
                 if parts > 1:
                     some = np.flatnonzero((sum(c * m for c, m in zip(suffixes.astype(np.uint64), _MIX, strict=True)) >> np.uint64(33)) % np.uint64(parts) == np.uint64(part))
@@ -406,7 +425,7 @@ def _trees(at_once: int):
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in small(batches):
-            for own, *row, removed, extra, like in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "words", "n_words", "ids", "at", "owner", "removed", "extra", "like")), strict=True):
+            for own, *row, removed, extra, like in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "words", "n_words", "ids", "steps", "at", "owner", "removed", "extra", "like")), strict=True):
                 if own != group and rows:
                     yield from grown(rows)
                     rows = []
