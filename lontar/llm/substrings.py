@@ -39,12 +39,15 @@ from .blocks import BLOCK_BYTES, Files, block_rows, files_of, in_blocks, met
 from .shared import read_table, small, stored
 
 WINDOW = 13
-#: Bytes of text behind a range of fingerprints; suffixes of a group, of a part of a block that is sorted at once, of a message.
-RANGE_BYTES, GROUP_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 19, 1 << 19, 1 << 18
+#: Bytes of text behind a range of fingerprints; suffixes of a group (a larger one repeats fewer words in its messages), of
+#: a part of a group whose tree is built at once, of a part of a block that is sorted at once, of a message.
+RANGE_BYTES, GROUP_SUFFIXES, TREE_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 21, 1 << 20, 1 << 19, 1 << 18
+#: zstd's level for what is shuffled.
+LEVEL = 6
 #: Bytes of messages that a sender holds.
 HELD_BYTES = 8 << 20
 #: Bits of a fingerprint beyond those that number the windows: one in 2^SPARE is told to be repeated by chance, at most.
-SPARE = 8
+SPARE = 6
 #: A word is common if it is one of so many words of a block or more; a block names at most as many.
 COMMON_SHARE = 1 << 18
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,9 +79,13 @@ def unpacked(raw: bytes | None) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _compressed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
 def _pressed(values: np.ndarray) -> bytes:
     """Sorted 64-bit values as packed, compressed, behind their number."""
-    return len(values).to_bytes(8, "little") + pa.compress(packed(values), "zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + _compressed(packed(values))
 
 
 def _expanded(raw: bytes) -> np.ndarray:
@@ -88,7 +95,7 @@ def _expanded(raw: bytes) -> np.ndarray:
 def _squeezed(values: np.ndarray) -> bytes:
     """64-bit values in any order, as compressed byte planes of their differences (modulo 2^64)."""
     steps = np.diff(values.view(np.uint64), prepend=np.uint64(0))
-    return pa.compress(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+    return _compressed(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
@@ -361,9 +368,9 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
         lengths = np.diff(ends).astype("<u4")
         letters = text.buffers()[2]
         letters = memoryview(letters)[ends[0] : ends[-1]] if letters is not None else b""
-        words = pa.compress(b"".join((lengths.tobytes(), letters)), "zstd", asbytes=True)
+        words = _compressed(b"".join((lengths.tobytes(), letters)))
         size = lengths.nbytes + int(lengths.sum(dtype=np.int64))
-        return size.to_bytes(8, "little") + words, len(used), pa.compress(ids, "zstd", asbytes=True), pa.compress(steps.astype(np.uint8).tobytes(), "zstd", asbytes=True)
+        return size.to_bytes(8, "little") + words, len(used), _compressed(ids), _compressed(steps.astype(np.uint8).tobytes())
 
     return send
 
@@ -540,7 +547,7 @@ def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out:
     told = matched.filter("prints IS NOT NULL").select("block", "prints")
     sender = _suffix_sender(bits, np.sort(np.array(common, np.int64).view(np.uint64)), rare, groups, min(SENT_AT_ONCE, group_suffixes))
     sent = met(files, told, n_blocks).mapInArrow(sender, _MESSAGE)
-    trees = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_trees(2 * group_suffixes), "block long, removed binary, extra binary, like binary")
+    trees = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_trees(min(TREE_SUFFIXES, group_suffixes)), "block long, removed binary, extra binary, like binary")
     return met(files, trees, n_blocks).mapInArrow(_settler(answer, to_arrow_schema(out), with_row), out)
 
 
