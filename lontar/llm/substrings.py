@@ -39,9 +39,9 @@ from .blocks import BLOCK_BYTES, Files, block_rows, files_of, in_blocks, met
 from .shared import read_table, small, stored
 
 WINDOW = 13
-#: Bytes of text behind a range of fingerprints; suffixes of a group (a larger one repeats fewer words in its messages), of
+#: Bytes of text behind a range of fingerprints; suffixes of a group, of
 #: a part of a group whose tree is built at once, of a part of a block that is sorted at once, of a message.
-RANGE_BYTES, GROUP_SUFFIXES, TREE_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 21, 1 << 20, 1 << 19, 1 << 18
+RANGE_BYTES, GROUP_SUFFIXES, TREE_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 19, 1 << 20, 1 << 19, 1 << 18
 #: zstd's level for what is shuffled.
 LEVEL = 6
 #: Bytes of messages that a sender holds.
@@ -547,7 +547,7 @@ def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out:
     told = matched.filter("prints IS NOT NULL").select("block", "prints")
     sender = _suffix_sender(bits, np.sort(np.array(common, np.int64).view(np.uint64)), rare, groups, min(SENT_AT_ONCE, group_suffixes))
     sent = met(files, told, n_blocks).mapInArrow(sender, _MESSAGE)
-    trees = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_trees(min(TREE_SUFFIXES, group_suffixes)), "block long, removed binary, extra binary, like binary")
+    trees = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_trees(min(TREE_SUFFIXES, 2 * group_suffixes)), "block long, removed binary, extra binary, like binary")
     return met(files, trees, n_blocks).mapInArrow(_settler(answer, to_arrow_schema(out), with_row), out)
 
 
