@@ -39,8 +39,8 @@ from .blocks import BLOCK_BYTES, Files, block_rows, files_of, in_blocks, met
 from .shared import read_table, small, stored
 
 WINDOW = 13
-#: Bytes of text behind a range of fingerprints; suffixes of a group, of
-#: a part of a group whose tree is built at once, of a part of a block that is sorted at once, of a message.
+#: Bytes of text behind a range of fingerprints; suffixes of a group, of a part of a group whose tree is built at once, of a
+#: part of a block that is sorted at once, of a message.
 RANGE_BYTES, GROUP_SUFFIXES, TREE_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 << 20, 1 << 19, 1 << 20, 1 << 19, 1 << 18
 #: zstd's level for what is shuffled.
 LEVEL = 6
