@@ -224,30 +224,33 @@ def _runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, li
 
 
 def _printer(bits: int, ranges: int):
-    """Each block's fingerprints by range, and its common words."""
+    """Each block's fingerprints and the hashes of its common words, both by range: a row for a block and a range."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _runs_of_blocks(batches):
             block = Block(_texts(iter(held)))
             prints = _distinct(block.prints() >> np.uint64(64 - bits))
             cuts = np.searchsorted(prints, [(i << bits) // ranges for i in range(ranges + 1)])
-            rows = [{"grp": i, "block": number, "prints": _pressed(prints[a:b]), "common": None} for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
             n = np.bincount(block.number, minlength=len(block.words))
-            common = block.hashes[n * COMMON_SHARE >= max(1, len(block.number))].view(np.int64)
-            rows.append({"grp": number % ranges, "block": number, "prints": None, "common": common})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("common", pa.list_(pa.int64()))]))
+            common = _distinct(block.hashes[n * COMMON_SHARE >= max(1, len(block.number))])
+            word_cuts = np.searchsorted(common >> np.uint64(1), [(i << 63) // ranges for i in range(ranges + 1)])
+            cuts, word_cuts = cuts.tolist(), word_cuts.tolist()
+            rows = [{"grp": i, "block": number, "prints": _pressed(prints[cuts[i] : cuts[i + 1]]), "common": _pressed(common[word_cuts[i] : word_cuts[i + 1]])} for i in range(ranges) if cuts[i + 1] > cuts[i] or word_cuts[i + 1] > word_cuts[i]]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("common", pa.binary())]))
 
     return send
 
 
-def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by range and block. Tells each block which of its fingerprints another one has; common words are
-    passed on."""
-    schema = pa.schema([("block", pa.int64()), ("prints", pa.binary()), ("n", pa.int64()), ("common", pa.list_(pa.int64()))])
+def _matcher(n_blocks: int):
+    """Rows come sorted by range and block. Tells each block which of its fingerprints another one has, and which words are
+    common in most blocks: one row for a range, as each block names a word once."""
+    schema = pa.schema([("block", pa.int64()), ("prints", pa.binary()), ("n", pa.int64()), ("common", pa.binary())])
 
     def shared(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = [_expanded(raw) for _, raw in rows]
         prints, numbers = np.concatenate(parts), np.unique([b for b, _ in rows])
+        if not len(prints):
+            return
         block = np.repeat(np.searchsorted(numbers, [b for b, _ in rows]).astype(np.int32), [len(p) for p in parts])
         order = np.argsort(prints)
         prints, block = prints[order], block[order]
@@ -262,19 +265,29 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _distinct(prints[a:b])
             yield pa.RecordBatch.from_pylist([{"block": int(numbers[block[a]]), "prints": packed(own), "n": len(own)}], schema)
 
-    group, rows = None, []
-    for batch in batches:
-        for own, block, raw, common in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "prints", "common")), strict=True):
-            if own != group and rows:
-                yield from shared(rows)
-                rows = []
-            group = own
-            if raw is None:
-                yield pa.RecordBatch.from_pylist([{"block": block, "common": common}], schema)
-            else:
+    def in_most(named: list[bytes]) -> Iterator[pa.RecordBatch]:
+        words = np.sort(np.concatenate([_expanded(raw) for raw in named]))
+        starts = _starts(words)
+        often = words[starts[np.diff([*starts, len(words)]) * 2 > n_blocks]]
+        if len(often):
+            yield pa.RecordBatch.from_pylist([{"common": packed(often)}], schema)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, named = None, [], []
+        for batch in batches:
+            for own, block, raw, common in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "prints", "common")), strict=True):
+                if own != group and rows:
+                    yield from shared(rows)
+                    yield from in_most(named)
+                    rows, named = [], []
+                group = own
                 rows.append((block, raw))
-    if rows:
-        yield from shared(rows)
+                named.append(common)
+        if rows:
+            yield from shared(rows)
+            yield from in_most(named)
+
+    return match
 
 
 # ---- suffixes to groups, trees -------------------------------------------------------------------------------------
@@ -534,18 +547,18 @@ def _settled(docs: DataFrame, id_col: str, text_col: str, answer: Callable, out:
     n_bytes, n_blocks = size.n or 0, max(1, size.blocks)
     bits = min(64, max(2, max(1, n_bytes // 2).bit_length() + spare))
     ranges = max(1, -(-n_bytes // RANGE_BYTES))
-    printed = blocks.select("block", "id", "text").mapInArrow(_printer(bits, ranges), "grp long, block long, prints binary, common array<long>")
-    matched = stored(printed.repartition(ranges, "grp").sortWithinPartitions("grp", "block").mapInArrow(_matcher, "block long, prints binary, n long, common array<long>"), "prints")
+    printed = blocks.select("block", "id", "text").mapInArrow(_printer(bits, ranges), "grp long, block long, prints binary, common binary")
+    matched = stored(printed.repartition(ranges, "grp").sortWithinPartitions("grp", "block").mapInArrow(_matcher(n_blocks), "block long, prints binary, n long, common binary"), "prints")
     left = matched.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-left // group_suffixes))
-    words = matched.select(F.explode("common").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     # Those that are common in most blocks: as a block names COMMON_SHARE of them at most, there are twice as many at most.
-    common = [r.w for r in words.filter(F.col("n") * 2 > n_blocks).select("w").collect()]
+    found = matched.filter("common IS NOT NULL").select("common").collect()
+    common = np.sort(np.concatenate([np.empty(0, np.uint64), *(unpacked(r.common) for r in found)]))
     rare = 1
     while COMMON_SHARE**rare < 8 * groups:
         rare += 1
     told = matched.filter("prints IS NOT NULL").select("block", "prints")
-    sender = _suffix_sender(bits, np.sort(np.array(common, np.int64).view(np.uint64)), rare, groups, min(SENT_AT_ONCE, group_suffixes))
+    sender = _suffix_sender(bits, common, rare, groups, min(SENT_AT_ONCE, group_suffixes))
     sent = met(files, told, n_blocks).mapInArrow(sender, _MESSAGE)
     trees = sent.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_trees(min(TREE_SUFFIXES, 2 * group_suffixes)), "block long, removed binary, extra binary, like binary")
     return met(files, trees, n_blocks).mapInArrow(_settler(answer, to_arrow_schema(out), with_row), out)

@@ -120,3 +120,25 @@ def test_packing_of_sorted_values():
     values = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2))
     assert (substrings.unpacked(substrings.packed(values)) == values).all()
     assert len(substrings.unpacked(substrings.packed(values[:0]))) == 0
+
+
+def test_common_words_are_counted_by_range_not_row_by_row(spark, monkeypatch):
+    """Every word of a short block is common in it: rows for the counting grow with ranges, not with blocks times words."""
+    blocks, ranges = 40, 3
+    texts = [" ".join([f"w{i}" for i in range(300)] + [f"own{b}x{i}" for i in range(50)] + ["half"] * (b % 2)) for b in range(blocks)] + [None]
+    batches = [pa.RecordBatch.from_pydict({"id": [b], "text": pa.array([t], pa.string()), "block": pa.array([b], pa.int64())}) for b, t in enumerate(texts)]
+    sent = [r for b in substrings._printer(40, ranges)(iter(batches)) for r in b.to_pylist()]
+    assert len(sent) <= ranges * blocks
+    table = pa.Table.from_pylist(sorted(sent, key=lambda r: (r["grp"], r["block"])))
+    found = [r for b in substrings._matcher(blocks)(iter(table.to_batches())) for r in b.to_pylist() if r["common"] is not None]
+    assert len(found) <= ranges
+    words = {int(substrings.xxhash.xxh64_intdigest(f"w{i}")) for i in range(300)}
+    assert {int(x) for r in found for x in substrings.unpacked(r["common"])} == words  # "half" is in half of them, no more
+
+    def explode(*_):
+        raise AssertionError("a row for each block and common word")
+
+    monkeypatch.setattr(substrings.F, "explode", explode)
+    data = [(d, " ".join(f"w{i}" for i in range(d, d + 30))) for d in range(60)]
+    got = substrings.find_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(7), block_bytes=200).collect()
+    assert sorted((False, x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == by_hand(data)
