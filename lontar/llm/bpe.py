@@ -4,8 +4,9 @@ Texts are split by the vocabulary's pattern. A worker's new pieces become rows (
 round of the recursion joins every pair of neighbours to the merge table and contracts each word's pairs of least rank
 from the left: all of them at once, in a run of equal tokens every other one, which gives the same as one after the other,
 as a token made in a round can't make a pair of lower rank (every token of the vocabulary is what its own bytes encode
-to; a test goes through all of them). A word without a pair that merges is finished. Tokens are decoded by joining them to
-the vocabulary and aggregating the bytes in order of position. Results are kept by piece, in a bounded cache.
+to; a test goes through all of them). A word without a pair that merges is finished. The tokens come back in order of
+position; all of a query's are written as decimals and decoded at once, by the vocabulary's bytes. Results are kept by
+piece, in a bounded cache.
 
 A word is a piece, or a part of one: pieces are cut between two bytes that stand side by side in no token, as no merge can
 ever reach across. So the number of rounds follows the longest stretch without such a place, not a piece's length, and a
@@ -35,28 +36,25 @@ from .shared import read_table, small
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of one recursive query, by bytes; what a worker remembers.
-QUERY_BYTES, REMEMBERED = 1_200_000, 2_000_000
+QUERY_BYTES, REMEMBERED = 600_000, 2_000_000
 #: Bytes of text that are worked on together.
 NUMBERED = 16 << 20
 
-#: Rows are linked by nxt. Each round: the pairs that merge, the least rank of each word, its pairs of that rank, and of those
-#: in a run of equal tokens (where they overlap) every other one from the left.
+#: Rows are linked by nxt. Each round: the pairs that merge, the least rank of each word, its pairs of that rank; of those in a
+#: run of equal tokens (where they overlap) every other one from the left, the others wait.
 _QUERY = """
 WITH RECURSIVE step(word, pos, tok, nxt, done) AS (SELECT word, pos, tok, nxt, false FROM start UNION ALL
   (WITH pairs AS MATERIALIZED (
-    SELECT a.word, a.pos, a.tok AS l, b.tok AS r, a.nxt AS gone, b.nxt AS after, m.id AS rank
-    FROM step a JOIN step b ON b.pos = a.nxt JOIN merges m ON m.pair = a.tok::BIGINT * 1048576 + b.tok WHERE NOT a.done AND NOT b.done),
-  least AS MATERIALIZED (SELECT word, min(rank) AS rank FROM pairs GROUP BY word),
-  hit AS MATERIALIZED (SELECT pairs.* FROM pairs JOIN least ON pairs.word = least.word AND pairs.rank = least.rank),
-  equal AS (SELECT *, sum(first::INT) OVER (ORDER BY pos) AS run FROM (SELECT *, lag(gone, 1, -1) OVER (ORDER BY pos) IS DISTINCT FROM pos AS first FROM hit WHERE l = r)),
-  chosen AS MATERIALIZED (
-    SELECT pos, gone, after, rank FROM hit WHERE l <> r
-    UNION ALL SELECT pos, gone, after, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) AS k FROM equal) WHERE k % 2 = 1)
-  SELECT p.word, p.pos, coalesce(c.rank, p.tok), CASE WHEN c.pos IS NULL THEN p.nxt ELSE c.after END, w.word IS NULL
-  FROM step p LEFT JOIN chosen c ON c.pos = p.pos LEFT JOIN least w ON w.word = p.word
-  WHERE NOT p.done AND NOT EXISTS (SELECT 1 FROM chosen g WHERE g.gone = p.pos)))
-SELECT piece, count(*) AS n, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM step JOIN vocab ON vocab.id = tok JOIN parts ON parts.part = word WHERE done GROUP BY piece ORDER BY piece
+    SELECT a.word, a.pos, a.tok, a.nxt, b.tok AS r, b.nxt AS after, m.id AS rank
+    FROM (FROM step WHERE NOT done) a LEFT JOIN step b ON b.pos = a.nxt LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 1048576 + b.tok),
+  least AS (SELECT word, min(rank) AS rank FROM pairs GROUP BY word),
+  ranked AS MATERIALIZED (SELECT pairs.*, least.rank AS least FROM pairs JOIN least ON pairs.word = least.word),
+  equal AS (SELECT *, sum(first::INT) OVER (ORDER BY pos) AS run FROM (SELECT pos, lag(nxt, 1, -1) OVER (ORDER BY pos) IS DISTINCT FROM pos AS first FROM ranked WHERE rank = least AND tok = r)),
+  wait AS (SELECT pos FROM (SELECT pos, row_number() OVER (PARTITION BY run ORDER BY pos) AS k FROM equal) WHERE k % 2 = 0),
+  judged AS MATERIALIZED (SELECT p.*, coalesce(p.rank = p.least, false) AND w.pos IS NULL AS chosen FROM ranked p LEFT JOIN wait w ON w.pos = p.pos)
+  SELECT word, pos, CASE WHEN chosen THEN rank ELSE tok END, CASE WHEN chosen THEN after ELSE nxt END, least IS NULL
+  FROM judged WHERE NOT EXISTS (SELECT 1 FROM judged g WHERE g.chosen AND g.nxt = judged.pos)))
+SELECT pos, tok FROM step WHERE done ORDER BY pos
 """
 
 
@@ -65,6 +63,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Strings:
+    """Byte strings by number, side by side."""
+
+    def __init__(self, strings: list[bytes]):
+        self.raw = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.at = np.cumsum(self.size) - self.size
+
+    def joined(self, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of some numbers, one after the other, and where each begins (and the last one ends)."""
+        size = self.size[numbers]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.raw[np.repeat(self.at[numbers] - ends[:-1], size) + np.arange(ends[-1])].tobytes(), ends
+
+
 class Bpe(Encoder):
     """rows(texts): (number of ids, the ids as decimal text, the bytes they decode to) of each text."""
 
@@ -92,7 +105,10 @@ class Bpe(Encoder):
         self.side_by_side = np.zeros(1 << 16, bool)
         self.side_by_side[(raw[:-1] * 256 + raw[1:])[inside[:-1]]] = True
         self._table("merges", pair=pa.array(pair, pa.int64()), id=pa.array(made, pa.int32()))
-        self._table("vocab", id=pa.array(self.ranks.values(), pa.int32()), hex=[t.hex() for t in self.ranks])
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.decimals, self.bytes = Strings([b"%d " % i for i in range(len(tokens))]), Strings(tokens)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -109,13 +125,18 @@ class Bpe(Encoder):
         ends = np.flatnonzero(end)
         word = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))
         self.db.register("start", pa.table({"word": word, "pos": pos, "tok": self.byte[raw], "nxt": np.where(end, -1, pos + 1).astype(np.int32)}))
-        self.db.register("parts", pa.table({"part": np.arange(len(ends), dtype=np.int32), "piece": np.searchsorted(last, ends).astype(np.int32)}))
-        found = self.db.execute(_QUERY).fetchall()
+        found = self.db.execute(_QUERY).fetchnumpy()
         self.db.unregister("start")
-        self.db.unregister("parts")
-        for i, count, ids, hex_ in found:
-            piece, decoded = pieces[i], bytes.fromhex(hex_)
-            self.pieces[piece] = count, ids.encode(), piece if decoded == piece else decoded  # one copy in memory
+        tok, edges = found["tok"], np.searchsorted(found["pos"], last, "right")  # of the pieces
+        (ids, ids_at), (decoded, decoded_at) = self.decimals.joined(tok), self.bytes.joined(tok)
+        at, count = [0, *ids_at[edges].tolist()], np.diff(edges, prepend=0).tolist()
+        if decoded == raw.tobytes() and (decoded_at[edges] == last + 1).all():
+            kept = pieces  # one copy in memory
+        else:
+            ends = [0, *decoded_at[edges].tolist()]
+            kept = [decoded[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for piece, n, a, b, back in zip(pieces, count, at[:-1], at[1:], kept, strict=True):
+            self.pieces[piece] = n, ids[a : b - 1], back
 
     def _encode_pieces(self, new: list[bytes]) -> None:
         group, size = [], 0
