@@ -196,3 +196,22 @@ def test_the_model_grows_with_the_corpus_at_any_size():
     leaves = [size / maxent.TOKEN_BYTES / s.leaf for size, s in zip((1e8, 5e8, 3e10, 1e12, 1e14), shapes, strict=True)]
     assert all(a < b for a, b in zip(leaves[:-1], leaves[1:], strict=True))
     assert all(n < 16 ** maxent.LEVELS for n in leaves)
+
+
+def test_sums_at_scattered_places_two_parts_at_once():
+    r = np.random.default_rng(5)
+    codes = (np.uint32(3) << np.uint32(28)) | (r.integers(0, 4096, 9000).astype(np.uint32) << np.uint32(16))
+    n = np.array([4000, 5000])
+    model = maxent.Model(6, r.integers(0, 50, (1 << 6, maxent.WIDTH)))
+    model.weights = r.normal(0, 0.3, model.weights.shape).astype(np.float32)
+    seen, due = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    model.gradient(codes, n, seen, due)
+    want_seen, want_due, score = np.zeros(seen.shape), np.zeros(due.shape), np.zeros(len(codes))
+    for at, reference, rows, y in model.events(codes, n):
+        p, total = model.shares(reference, rows)
+        score[at] += np.log10(p[np.arange(len(p)), y] / total)
+        for f, own in enumerate(rows):
+            np.add.at(want_seen[f], (own, y), 1)
+            np.add.at(want_due[f], own, p / total[:, None])
+    assert (seen == want_seen).all() and np.allclose(due, want_due, rtol=1e-3)
+    assert np.allclose(model.log10(codes, n), score, atol=1e-5)
