@@ -5,10 +5,10 @@ can lie below a deep internal node, so fingerprints come first: a block of texts
 as a fingerprint cut to the bits that the size of the corpus needs, to the task of its range of fingerprints, and is told
 which of them some other block has too (all true ones, and a few others: one in 2^SPARE or so).
 
-The suffixes that are left are split by their first words into groups that fit a task's memory. A prefix ends with the
-first word that isn't common (in corpora of very many groups, with the second such word and so on), at WINDOW words at
-the latest; prefixes that differ only in the common words before that go together; a group that is still too large is
-split by whole windows. Suffixes are sent with their words, those that overlap in the text as one passage. In a group the
+The suffixes that are left are split by their prefixes of WINDOW words into groups that fit a task's memory. Prefixes go
+together if the same word has the least hash of those that aren't common (in corpora of very many groups, the same two
+words and so on), so that suffixes that begin near each other mostly do; a group that is still too large is split by
+whole windows. Suffixes are sent with their words, those that overlap in the text as one passage. In a group the
 suffixes of all blocks are sorted by their words, and the words that neighbours share from the start (LCP) give the tree:
 an internal node of depth WINDOW or more is a run of neighbours that share as many. As only repeats of WINDOW words
 count, trees are cut at that depth. Of each node, the blocks are told the smallest doc_id. Within a block the same tree
@@ -46,6 +46,8 @@ RANGE_BYTES, GROUP_SUFFIXES, TREE_SUFFIXES, SORTED_AT_ONCE, SENT_AT_ONCE = 16 <<
 LEVEL = 6
 #: Bytes of messages that a sender holds.
 HELD_BYTES = 8 << 20
+#: Letters that a sorted word can leave out because the word before it begins with them, at most.
+SHARED = 12
 #: Bits of a fingerprint beyond those that number the windows: one in 2^SPARE is told to be repeated by chance, at most.
 SPARE = 6
 #: A word is common if it is one of so many words of a block or more; a block names at most as many.
@@ -102,6 +104,44 @@ def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
     return unpacked(pa.decompress(raw, 8 * n, "zstd", asbytes=True)).view(np.int64) if n else np.empty(0, np.int64)
 
 
+def _fronted(words: pa.Array) -> bytes:
+    """Sorted words (of 64-bit offsets), each without the letters that it shares with the one before, compressed: byte planes
+    of what is left of their lengths, numbers of shared letters, letters; behind its size."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    letters = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts, n = ends[:-1] - ends[0], np.diff(ends)
+    shared, alike = np.zeros(len(words), np.int64), np.arange(1, len(words))
+    for j in range(SHARED):
+        alike = alike[np.minimum(n[alike], n[alike - 1]) > j]
+        alike = alike[letters[starts[alike] + j] == letters[starts[alike - 1] + j]]
+        shared[alike] += 1
+    own = _own_letters(starts, shared, len(letters))
+    raw = b"".join(((n - shared).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), shared.astype(np.uint8).tobytes(), letters[own].tobytes()))
+    return len(raw).to_bytes(8, "little") + _compressed(raw)
+
+
+def _unfronted(raw: bytes, n_words: int) -> pa.LargeBinaryArray:
+    raw = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), np.uint8)
+    shared = raw[4 * n_words : 5 * n_words].astype(np.int64)
+    n = np.ascontiguousarray(raw[: 4 * n_words].reshape(4, -1).T).view("<u4").ravel() + shared
+    ends = np.concatenate([[0], np.cumsum(n)])
+    starts, letters = ends[:-1], np.empty(ends[-1], np.uint8)
+    letters[_own_letters(starts, shared, len(letters))] = raw[5 * n_words :]
+    for j in range(int(shared.max(initial=0))):
+        # It is a letter of the last word before that has one of its own at this place.
+        some = np.flatnonzero(shared > j)
+        source = np.maximum.accumulate(np.where(shared > j, 0, np.arange(n_words)))[some]
+        letters[starts[some] + j] = letters[starts[source] + j]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(letters)])
+
+
+def _own_letters(starts: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
+    own = np.ones(n, bool)
+    for j in range(int(shared.max(initial=0))):
+        own[starts[shared > j] + j] = False
+    return own
+
+
 def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
 
@@ -160,6 +200,13 @@ class Block:
         digest = xxhash.xxh64_intdigest
         self.hashes = np.fromiter(map(digest, self.words.view(pa.large_binary()).to_pylist()), np.uint64, len(self.words))
 
+    def sort_words(self) -> None:
+        """Numbers the words in their order."""
+        order = pc.sort_indices(self.words.view(pa.large_binary())).to_numpy()
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.words, self.number, self.hashes = self.words.take(pa.array(order)), place[self.number], self.hashes[order]
+
     def prints(self) -> np.ndarray:
         hashed, out = self.hashes[self.number], np.zeros(len(self.at), np.uint64)
         for j in range(WINDOW):
@@ -263,7 +310,7 @@ def _matcher(n_blocks: int):
         edges = _starts(block)
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=False):
             own = _distinct(prints[a:b])
-            yield pa.RecordBatch.from_pylist([{"block": int(numbers[block[a]]), "prints": packed(own), "n": len(own)}], schema)
+            yield pa.RecordBatch.from_pylist([{"block": int(numbers[block[a]]), "prints": _pressed(own), "n": len(own)}], schema)
 
     def in_most(named: list[bytes]) -> Iterator[pa.RecordBatch]:
         words = np.sort(np.concatenate([_expanded(raw) for raw in named]))
@@ -294,18 +341,20 @@ def _matcher(n_blocks: int):
 
 
 def prefix_groups(suffixes: np.ndarray, hashes: np.ndarray, common: np.ndarray, rare: int, groups: int) -> np.ndarray:
-    """Groups of suffixes (rows of word numbers): by their prefix up to the rare-th word that isn't common, less the common
-    words before the first of these (if all are common, by all words). So suffixes that begin shortly before one rare word
-    are in one group, and are sent as one passage. hashes, common: of each word by its number."""
-    prefix, met_, some = np.zeros(len(suffixes), np.uint64), np.zeros(len(suffixes), np.int64), np.arange(len(suffixes))
-    for j in range(suffixes.shape[1]):
-        column = suffixes[some, j]
-        rarely = ~common[column]
-        before = np.where(rarely & (met_[some] == 0), np.uint64(0), prefix[some])
-        prefix[some] = (before ^ (before >> np.uint64(29))) * _MIX[1] + hashes[column] * _MIX[0]
-        met_[some] += rarely
-        some = some[met_[some] < rare]
-    return (((prefix ^ (prefix >> np.uint64(31))) * _MIX[2] >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+    """Groups of suffixes (rows of word numbers): by the words with the rare least hashes of those that aren't common (if
+    fewer aren't, by all words). Suffixes that begin near each other mostly have the same ones, wherever these are, so they are
+    in one group and sent as one passage. hashes, common: of each word by its number."""
+    last = np.uint64((1 << 64) - 1)
+    rank = np.where(common, last, (hashes ^ (hashes >> np.uint64(31))) * _MIX[3])[suffixes]
+    least = rank.min(axis=1, keepdims=True) if rare == 1 else np.sort(rank, axis=1)[:, :rare]
+    key, few = np.zeros(len(suffixes), np.uint64), np.flatnonzero(least[:, -1] == last)
+    for column in least.T:
+        key = (key ^ (key >> np.uint64(29))) * _MIX[1] + column * _MIX[0]
+    whole = np.zeros(len(few), np.uint64)
+    for column in suffixes[few].T:
+        whole = (whole ^ (whole >> np.uint64(29))) * _MIX[1] + hashes[column] * _MIX[0]
+    key[few] = whole
+    return (((key ^ (key >> np.uint64(31))) * _MIX[2] >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
 
 
 def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_once: int):
@@ -314,6 +363,7 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
         schema = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("ids", "steps", "at", "owner", "removed", "extra", "like"))])
         for files, answers in block_rows(batches, ("prints",)):
             block = Block(_texts(files.batches(["id", "text"])))
+            block.sort_words()
             prints = block.prints()
             windows, starts = block.nodes(prints)
             n = np.diff([*starts, len(windows)])
@@ -328,7 +378,7 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
             sole = np.ones(len(prints), bool)
             sole[windows] = False
             sole[first] = True
-            told = _distinct(np.concatenate([unpacked(p) for (p,) in answers])) if answers else np.empty(0, np.uint64)
+            told = _distinct(np.concatenate([_expanded(p) for (p,) in answers])) if answers else np.empty(0, np.uint64)
             own = np.flatnonzero(sole)
             if len(told):
                 cut = prints[own] >> np.uint64(64 - bits)
@@ -338,13 +388,13 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
             rows, held = [], 0
             for group, some in parted(block, own):
                 words, n_words, ids, steps = written(block, some)
-                rows.append(nothing | {"grp": group, "block": files.block, "n_words": n_words, "words": words, "ids": ids, "steps": steps, "at": packed(some), "owner": _squeezed(block.owner[some])})
+                rows.append(nothing | {"grp": group, "block": files.block, "n_words": n_words, "words": words, "ids": ids, "steps": steps, "at": _pressed(some), "owner": _squeezed(block.owner[some])})
                 held += len(words) + len(ids) + 16 * len(some)
                 if held > HELD_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, held = [], 0
             if len(removed) or len(extra):
-                rows.append(nothing | {"grp": files.block * 7919 % groups, "block": files.block, "removed": packed(removed), "extra": extra.astype("<i8").tobytes(), "like": like.astype("<i8").tobytes()})
+                rows.append(nothing | {"grp": files.block * 7919 % groups, "block": files.block, "removed": _pressed(removed), "extra": extra.astype("<i8").tobytes(), "like": like.astype("<i8").tobytes()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -360,7 +410,7 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
                 yield int(group[order[a]]), own[order[i : min(b, i + at_once)]]
 
     def written(block: Block, windows: np.ndarray) -> tuple[bytes, int, bytes, bytes]:
-        """The distinct words of some windows, their number, the passages that the windows cover as places in them, and
+        """The distinct words of some windows in their order, their number, the passages that the windows cover as places in them, and
         how far each window begins after the one before it, compressed."""
         at = block.at[windows]
         steps = np.minimum(np.diff(at, prepend=at[0] - WINDOW), WINDOW)  # a window adds so many words
@@ -376,14 +426,7 @@ def _suffix_sender(bits: int, common: np.ndarray, rare: int, groups: int, at_onc
             ids = place[numbers]
         width = 1 if len(used) <= 256 else 2 if len(used) <= 1 << 16 else 4
         ids = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
-        text = block.words.take(pa.array(used))
-        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        lengths = np.diff(ends).astype("<u4")
-        letters = text.buffers()[2]
-        letters = memoryview(letters)[ends[0] : ends[-1]] if letters is not None else b""
-        words = _compressed(b"".join((lengths.tobytes(), letters)))
-        size = lengths.nbytes + int(lengths.sum(dtype=np.int64))
-        return size.to_bytes(8, "little") + words, len(used), _compressed(ids), _compressed(steps.astype(np.uint8).tobytes())
+        return _fronted(block.words.take(pa.array(used))), len(used), _compressed(ids), _compressed(steps.astype(np.uint8).tobytes())
 
     return send
 
@@ -397,10 +440,8 @@ def _trees(at_once: int):
     def grown(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         texts, places, owners, blocks = [], [], [], []
         for block, words, n_words, _, _, at, owner in rows:
-            raw = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), "zstd", asbytes=True)
-            ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw[: 4 * n_words], "<u4"), dtype=np.int64)])
-            texts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 * n_words :])]))
-            places.append(unpacked(at).astype(np.int64))
+            texts.append(_unfronted(words, n_words))
+            places.append(_expanded(at).astype(np.int64))
             owners.append(_unsqueezed(owner, len(places[-1])))
             blocks.append(np.full(len(places[-1]), block, np.int64))
         numbers = pa.chunked_array(texts).dictionary_encode()
@@ -440,7 +481,7 @@ def _trees(at_once: int):
         go = go[np.lexsort((place[go], block[go]))]
         edges = _starts(block[go])
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(go)], strict=False):
-            yield pa.RecordBatch.from_pylist([{"block": int(block[go[a]]), "removed": packed(place[go[a:b]])}], schema)
+            yield pa.RecordBatch.from_pylist([{"block": int(block[go[a]]), "removed": _pressed(place[go[a:b]])}], schema)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
@@ -528,7 +569,7 @@ def _settler(answer: Callable, schema: pa.Schema, with_row: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files, answers in block_rows(batches, ("removed", "extra", "like")):
-            removed = _distinct(np.concatenate([np.empty(0, np.int64), *(unpacked(r).astype(np.int64) for r, _, _ in answers)]))
+            removed = _distinct(np.concatenate([np.empty(0, np.int64), *(_expanded(r).astype(np.int64) for r, _, _ in answers)]))
             extra, like = (np.frombuffer(b"".join(a[i] or b"" for a in answers), "<i8") for i in (1, 2))
             yield from settle(files, np.union1d(removed, extra[np.isin(like, removed)]))
 

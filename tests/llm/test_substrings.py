@@ -142,3 +142,34 @@ def test_common_words_are_counted_by_range_not_row_by_row(spark, monkeypatch):
     data = [(d, " ".join(f"w{i}" for i in range(d, d + 30))) for d in range(60)]
     got = substrings.find_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(7), block_bytes=200).collect()
     assert sorted((False, x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == by_hand(data)
+
+
+@pytest.mark.parametrize("rare, most", [(1, 0.2), (2, 0.4)])
+def test_suffixes_that_begin_near_each_other_are_in_one_group(rare, most):
+    """So that a passage isn't sent again for every word that isn't common (before: a group for each, 13 words a suffix)."""
+    r = np.random.default_rng(3)
+    hashes = np.unique(r.integers(1, 1 << 63, 6000, np.uint64))[:5000]
+    number, common = r.integers(0, 5000, 5013).astype(np.int32), np.zeros(5000, bool)
+    suffixes = np.lib.stride_tricks.sliding_window_view(number, substrings.WINDOW)
+    groups = substrings.prefix_groups(suffixes, hashes, common, rare, 1 << 30)
+    assert (groups[1:] != groups[:-1]).mean() < most
+    # A group is of the words alone: not of their numbers in a block, nor of what else is in it.
+    other = r.permutation(5000)
+    place = np.argsort(other)
+    some = r.permutation(len(suffixes))[:700]
+    assert (substrings.prefix_groups(place[suffixes[some]].astype(np.int32), hashes[other], common, rare, 1 << 30) == groups[some]).all()
+    common[:] = True  # nothing but common words: by all of them
+    whole = substrings.prefix_groups(suffixes, hashes, common, rare, 1 << 30)
+    assert len(np.unique(whole)) > 0.99 * len(np.unique(suffixes, axis=0))
+
+
+def test_sorted_words_without_what_they_share():
+    r = random.Random(4)
+    words = sorted({bytes(r.choice(b"ab\xc3\x00") for _ in range(r.randint(1, 30))) for _ in range(3000)} | {b"a" * n for n in (1, 2, 300, 70000)})
+    given = pa.array(words, pa.large_binary())
+    for some in (given, given.slice(5, 700), given.slice(9, 1), given.take(pa.array(range(0, len(words), 3)))):
+        raw = substrings._fronted(some)
+        assert substrings._unfronted(raw, len(some)).to_pylist() == some.to_pylist()
+    assert substrings._unfronted(substrings._fronted(given[:0]), 0).to_pylist() == []
+    near = pa.array([f"internationali{i:05}" for i in range(5000)], pa.large_string())
+    assert int.from_bytes(substrings._fronted(near)[:8], "little") < 0.6 * (4 + 19) * len(near)
