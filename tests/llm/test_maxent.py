@@ -215,3 +215,43 @@ def test_sums_at_scattered_places_two_parts_at_once():
             np.add.at(want_due[f], own, p / total[:, None])
     assert (seen == want_seen).all() and np.allclose(due, want_due, rtol=1e-3)
     assert np.allclose(model.log10(codes, n), score, atol=1e-5)
+
+
+@pytest.mark.parametrize("bits, at_once, piece", [(4, 1 << 18, 1 << 15), (4, 37, 50), (12, 37, 1 << 15), (12, 1 << 18, 10)])
+def test_gradients_summed_by_row_are_those_of_single_softmaxes(monkeypatch, bits, at_once, piece):
+    monkeypatch.setattr(maxent, "SUMMED_AT_ONCE", at_once)
+    monkeypatch.setattr(maxent, "PIECE", piece)
+    r = np.random.default_rng(5)
+    model = maxent.Model(bits, r.integers(0, 50, (1 << bits, maxent.WIDTH)))
+    model.weights = r.normal(0, 0.5, model.weights.shape).astype(np.float32)
+    n = np.array([1, 120, 30, 1, 48])
+    levels = r.integers(1, 8, 200).astype(np.uint32)
+    codes = (levels << np.uint32(28)) | (r.integers(0, 1 << 28, 200).astype(np.uint32))
+    start = np.ones_like(model.weights)  # sums are added to what is there
+    seen, due = start.copy(), start.copy()
+    model.gradient(codes, n, seen, due)
+    wanted_seen, wanted_due = start.astype(float), start.astype(float)
+    for _, reference, rows, y in model.events(codes, n):
+        p = model.softmax(reference, rows)
+        for i in range(len(y)):
+            for f in range(maxent.FAMILIES):
+                wanted_seen[f, rows[f][i], y[i]] += 1
+                wanted_due[f, rows[f][i]] += p[i]
+    assert (seen == wanted_seen).all() and np.allclose(due, wanted_due, rtol=1e-5)
+    whole = np.zeros(200)
+    for at, reference, rows, y in model.events(codes, n):
+        whole[at] += np.log10(model.softmax(reference, rows)[np.arange(len(y)), y])
+    assert np.allclose(model.log10(codes, n), whole, atol=1e-4)
+    none = np.zeros_like(model.weights)
+    model.gradient(codes[:0], n[:0], none, none)
+    assert not none.any()
+
+
+def test_sums_of_many_small_shares_keep_their_digits():
+    """Added one by one as 32-bit numbers (as before), shares of a row that very many tokens have lose a part of their sum."""
+    model = maxent.Model(4, np.zeros((1 << 4, maxent.WIDTH)))
+    model.weights += np.random.default_rng(6).normal(0, 1, maxent.WIDTH).astype(np.float32)
+    codes = np.full(600_000, 1 << 28, np.uint32)
+    seen, due = np.zeros_like(model.weights), np.zeros_like(model.weights)
+    model.gradient(codes, np.array([len(codes)]), seen, due)
+    assert np.allclose(due.sum(axis=2, dtype=float), seen.sum(axis=2, dtype=float), rtol=2e-6, atol=1e-2)
